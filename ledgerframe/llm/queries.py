@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash, substrings, toxicity
+from . import bpe, chat, decontaminate, licenses, lines, merkle, quality, simhash, substrings, toxicity
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(documents(spark, sf_dir))
 
@@ -28,13 +32,32 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_substrings, op4_bpe, op8_toxicity, op10_simhash)}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op3_substrings": substrings.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_quality, op3_substrings, op4_bpe, op5_chat, op6_lines, op7_merkle, op8_toxicity, op9_licenses, op10_simhash)
+}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op3_substrings": substrings.SQL, "op5_chat": chat.SQL, "op6_lines": lines.SQL}
