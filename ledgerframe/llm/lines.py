@@ -135,8 +135,8 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
     return pairs.join(texts, ["k", "pos"]).join(early, ["ek", "epos"]).where(banded_distance(F.col("line"), F.col("eline"), threshold) <= threshold).select("k", "pos", "ek", "epos").distinct()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("k", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumnRenamed(text_col, "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), *more)
 
 
 def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, whole: DataFrame | None = None) -> DataFrame:
@@ -162,12 +162,14 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the lines that stay as ``text``; documents that lose all their lines go."""
-    own = keyed(docs, "doc_id", "text")
-    out = kept_lines(own, whole=own, **options).where((F.size("kept") > 0) | F.col("text").isNull())
-    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
-    cells = {"text": text, "n_chars": F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {"text": text}
-    return out.select([cells[c].alias(c) if c in cells else F.col(c) for c in docs.columns])
+    """``docs`` with the lines that stay as ``text``, and ``n_chars`` to match; documents that lose all their lines go."""
+    # The row travels as one cell, so its columns may have any names.
+    own = keyed(docs, "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = kept_lines(own.select("k", "text"), whole=own, **options).where((F.size("kept") > 0) | F.col("text").isNull())
+    new = {"text": F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.char_length(new["text"])).cast(dict(docs.dtypes)["n_chars"])
+    return out.select([new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 SQL = r"""
@@ -184,5 +186,5 @@ j AS (SELECT s, doc_id, p, n2, 1 AS k, substr(s, 1, b) AS t FROM o WHERE z = 0
 c AS (SELECT DISTINCT j.s, j.doc_id, j.p, i.s AS s2, i.doc_id AS doc_id2, i.p AS p2 FROM j JOIN i ON i.n = j.n2 AND i.k = j.k AND i.t = j.t AND i.s <> j.s),
 e AS (SELECT DISTINCT unnest(CASE WHEN [doc_id, p] > [doc_id2, p2] THEN [s] ELSE [s2] END) AS s FROM c WHERE levenshtein(s, s2) <= 2),
 k AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(10) ORDER BY p) AS t FROM f WHERE s NOT IN (SELECT s FROM e) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CASE WHEN l = [''] THEN 0 ELSE CAST(len(l) - coalesce(k.n, 0) AS BIGINT) END AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """

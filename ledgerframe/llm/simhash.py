@@ -284,6 +284,7 @@ def one_each(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest id; of rows with one id, one."""
     kept = find(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
-    marked = docs.withColumn("own_fp", fingerprint_column(F.col("text")))
-    own = marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["own_fp"] == kept["kept_fp"]), "left_semi")
-    return own.dropDuplicates(["doc_id", "own_fp"]).drop("own_fp")
+    # The row travels as one cell, so its columns may have any names.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), fingerprint_column(F.col("text")).alias("own_fp"))
+    own = marked.join(kept, marked["own_id"].eqNullSafe(kept["kept_id"]) & (marked["own_fp"] == kept["kept_fp"]), "left_semi")
+    return own.dropDuplicates(["own_id", "own_fp"]).select("row.*")

@@ -1,0 +1,52 @@
+"""The registered queries against their DuckDB SQL, and the pipeline against its stages."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from ledgerframe.llm import queries
+
+TABLES = "documents benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def cells(rows, order):
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, duck, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    out = duck.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in out.description]
+    assert sorted(names) == sorted(df.columns)
+    want = cells(out.fetchall(), [names.index(c) for c in sorted(names)])
+    got = cells([tuple(r) for r in df.collect()], [df.columns.index(c) for c in sorted(names)])
+    assert got == want
+
+
+def test_ten_operators_are_registered():
+    own = entry.queries()
+    assert all(sum(q.startswith(f"op{n}_") for q in own) == 1 for n in range(1, 11)) and "pipeline" in own
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+    from ledgerframe.llm.common import stored
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns, name
+        assert docs.select("doc_id").distinct().count() == docs.count(), name
+    want = sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()))
+    got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
+    assert got == want and 0 < len(got) <= 200
