@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,51 +101,73 @@ class PerfectHash:
         return [r if keys[s] == t else -1 for t, s, r in zip(tokens, slot.tolist(), self.ranks[slot].tolist())]
 
 
-def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ranks of the parts of ``token`` after all merges, lowest rank first, leftmost first."""
-    n = len(token)
-    end = list(range(1, n + 1))  # of the part that begins here; 0: no part does
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
-    heapify(heap)
-    while heap:
-        _, i, stop = heappop(heap)
-        j = end[i]
-        if not j or j >= n or end[j] != stop:
-            continue  # one of the two parts is gone
-        end[i], end[j] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(token[i : end[stop]])) is not None:
-                heappush(heap, (r, i, end[stop]))
-        if (k := before[i]) >= 0 and (r := ranks.get(token[k:stop])) is not None:
-            heappush(heap, (r, k, stop))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[token[i : end[i]]])
-        i = end[i]
-    return out
+class Merges:
+    """Merges of neighbouring parts by rank, with parts as ranks and pairs of them as one integer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        self.byte = [get(bytes([i])) for i in range(256)]
+        self.pair = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
+                    self.pair[a << 32 | b] = rank
+
+    def merge(self, token: bytes) -> list[int]:
+        """The ranks of the parts of ``token`` after all merges, lowest rank first, leftmost first."""
+        pair = self.pair.get
+        part = [self.byte[x] for x in token]
+        n = len(part)
+        # Of each part: the rank of its pair with the next one, if any; what else the heap says of it is stale.
+        now = [pair(a << 32 | b) for a, b in zip(part, part[1:])]
+        heap = [r << 32 | i for i, r in enumerate(now) if r is not None]
+        if not heap:
+            return part
+        heapify(heap)
+        now.append(None)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            item = heappop(heap)
+            i = item & 0xFFFFFFFF
+            rank = item >> 32
+            if now[i] != rank:
+                continue
+            j = after[i]
+            part[i] = rank
+            part[j] = now[j] = now[i] = None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := pair(rank << 32 | part[k])) is not None:
+                    now[i] = r
+                    heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0:
+                now[h] = r = pair(part[h] << 32 | rank)
+                if r is not None:
+                    heappush(heap, r << 32 | h)
+        return [x for x in part if x is not None]
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: PerfectHash):
-        self.ranks, self.table, self.memo = ranks, table, {}
+        self.merge, self.table, self.memo = Merges(ranks).merge, table, {}
         self.split = regex.compile(pattern).findall
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; so are those that are kept for a pre-token."""
         memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
         for text in texts:
+            if len(memo) > MEMO:
+                memo.clear()
             pieces = self.split(text) if text else []
-            new = list(set(pieces) - memo.keys())
+            new = [x for x in set(pieces) if x not in memo]
             if new:
                 raw = [x.encode() for x in new]
                 for piece, token, r in zip(new, raw, self.table.rank(raw)):
-                    memo[piece] = (r,) if r >= 0 else tuple(merge(token, self.ranks))
-            out.append(np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), "<u4"))
-            if len(memo) > MEMO:
-                memo.clear()
+                    ids = (r,) if r >= 0 else self.merge(token)
+                    memo[piece] = pack(f"<{len(ids)}I", *ids)
+            out.append(b"".join(map(memo.__getitem__, pieces)))
         return out
 
 
@@ -162,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 

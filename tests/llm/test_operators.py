@@ -194,8 +194,9 @@ def test_bpe_merges_and_perfect_hash():
     assert table.rank(list(ranks)) == list(ranks.values()) and sorted(table.keys) == sorted(ranks)
     assert table.rank([b"\xff\xfe nothing", b""]) == [-1, -1]
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = bpe.Merges(ranks)
     for token in ("a" * 300, "abab" * 1000, "schifffahrtsgesellschaft", "日本語テキスト", "x"):
-        assert bpe.merge(token.encode(), ranks) == enc.encode_ordinary(token)
+        assert merges.merge(token.encode()) == enc.encode_ordinary(token)
 
 
 # -- 5
