@@ -118,7 +118,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, float]], ridge: float = 1e
 
 
 def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality") -> Model:
-    rows = training_rows(docs, labels, rating).orderBy("key").limit(FIT_ROWS)
+    rows = training_rows(docs, labels, rating, FIT_ROWS)
 
     def extract(batches):
         hashed = Hashed()

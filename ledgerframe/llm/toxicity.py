@@ -6,8 +6,8 @@ their log odds in labelled documents; exception phrases are two-word phrases aro
 labelled clean documents use, and hits inside them don't count. The sum of the weights of all hits,
 also as a share of the text's length, goes through a logistic curve fitted on labelled rows.
 
-Counts of words and phrases cover all labelled training rows. The curve is fitted on at most ``FIT_ROWS``
-of them, those with the smallest hashes. Defined results: null and empty texts have no hits and score as
+The lexicon, the exceptions and the curve are learned from at most ``FIT_ROWS`` labelled rows that aren't
+held out, those with the smallest hashes. Defined results: null and empty texts have no hits and score as
 such; without labels of both kinds every score is 0; repeated rows are each scored; labels of documents
 that don't exist, or null labels, are left out.
 """
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 FIT_ROWS = 20_000
 LEXICON = 4_000
 MIN_DOCS = 3
@@ -87,10 +89,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(text, y, key) of the labelled documents that aren't held out. A document with several labels counts by the largest."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(text, y) of labelled documents that aren't held out, stored. A document with several labels counts by the largest.
+
+    At most ``bound`` labelled ids are drawn, those with the smallest hashes; so what is broadcast has that bound,
+    and no text is shuffled.
+    """
     marks = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("key"))
+    drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y"), "training")
 
 
 def counts(rows: DataFrame, terms: set[str] | None = None) -> DataFrame:
@@ -154,7 +161,7 @@ def shaped(rows) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    rows = training_rows(docs, labels, label)
+    rows = training_rows(docs, labels, label, FIT_ROWS)
     n = {bool(r.y): r.n for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     if not (n.get(True) and n.get(False)):
         return Model({}, [], None)
@@ -168,7 +175,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     lexicon = {r.term: float(r.w) for r in terms}
     clean = counts(rows, set(lexicon)).where((F.col("clean") >= MIN_DOCS) & (odds < 0)).orderBy(F.desc("clean"), "term").limit(LEXICON).collect() if lexicon else []
     exceptions = [r.term for r in clean]
-    matcher = None
 
     def measure(batches):
         own = Matcher(lexicon, exceptions)
@@ -176,8 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             m = [measures(own, t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([float(v[k]) for v in m]) for k in range(3)] + [batch.column(1).cast(pa.float64())], ["a", "b", "c", "y"])
 
-    sample = rows.orderBy("key").limit(FIT_ROWS) if total > FIT_ROWS else rows
-    got = np.array(sample.select("text", F.col("y").cast("double")).mapInArrow(measure, "a double, b double, c double, y double").toPandas())
+    got = np.array(rows.select("text", F.col("y").cast("double")).mapInArrow(measure, "a double, b double, c double, y double").toPandas())
     return Model(lexicon, exceptions, logistic(shaped(got[:, :3]), (got[:, 3] > 0).astype(float)))
 
 
