@@ -8,8 +8,9 @@ Equal lines are brought together by hash first, so a line that a third of all do
 Each first line of ``MIN_CHARS`` characters or more is cut into threshold + 1 even segments; if two lines
 are within the threshold, some segment of the shorter occurs in the longer, at one of a few places that
 segment number and lengths determine. Index rows (length, segment number, segment) meet probe rows of
-those substrings in one equi-join; each candidate pair is verified by a banded bit-parallel edit distance.
-Shorter lines go only if equal.
+those substrings in one equi-join, which also compares counts of frequent letters: an edit changes two of
+them by one at most. Each candidate pair is verified by a banded bit-parallel edit distance. Shorter lines
+go only if equal. The join of a group of n long lines that share a segment still compares n * n counts.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line, which stays
 whatever else does; rows with the same id are the same document, so they don't remove one another's lines
@@ -18,6 +19,8 @@ at the same place; a null id counts as larger than any other. Ids are integers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .common import let
 THRESHOLD = 2
 MIN_CHARS = 24
 NO_ID = (1 << 63) - 1
+#: Counted letters, four bits of each count in one integer.
+LETTERS = "etaonisrhdlucmgb"
 
 
 def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -61,6 +66,17 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+def letter_counts(line: Column) -> Column:
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in LETTERS]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.bitwiseAND(15).cast("long"), 4 * i) for i, c in enumerate(counts)])
+
+
+def count_difference(a: Column, b: Column) -> Column:
+    """The sum of the differences of all counts, each modulo 16: at most twice the edit distance."""
+    steps = [(F.shiftrightunsigned(a, 4 * i) - F.shiftrightunsigned(b, 4 * i)).bitwiseAND(15) for i in range(len(LETTERS))]
+    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in steps])
+
+
 def banded_distance(pattern: Column, text: Column, threshold: int) -> Column:
     """The edit distance of two strings if it is at most ``threshold``, else some larger number.
 
@@ -124,11 +140,12 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k, pos, ek, epos): a first line and an earlier one within the threshold of it, each pair once."""
-    lines = at_places(docs, firsts).withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
-    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("ik"), F.col("pos").alias("ipos"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("pk"), F.col("pos").alias("ppos"))
+    lines = at_places(docs, firsts).withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars).withColumn("counts", letter_counts(F.col("line")))
+    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("counts").alias("icounts"))
+    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("pk"), F.col("pos").alias("ppos"), F.col("counts").alias("pcounts"))
     mine, other = F.struct(F.col("pk").alias("k"), F.col("ppos").alias("pos")), F.struct(F.col("ik").alias("k"), F.col("ipos").alias("pos"))
-    met = probe.join(index, "key").where((F.col("pk") != F.col("ik")) | (F.col("ppos") != F.col("ipos")))
+    apart = (F.col("pk") != F.col("ik")) | (F.col("ppos") != F.col("ipos"))
+    met = probe.join(index, "key").where(apart & (count_difference(F.col("pcounts"), F.col("icounts")) <= 2 * threshold))
     pairs = met.select(F.greatest(mine, other).alias("x"), F.least(mine, other).alias("y")).select("x.k", "x.pos", F.col("y.k").alias("ek"), F.col("y.pos").alias("epos")).distinct()
     texts = at_places(docs, pairs.select("k", "pos").unionByName(pairs.select(F.col("ek").alias("k"), F.col("epos").alias("pos"))))
     early = texts.select(F.col("k").alias("ek"), F.col("pos").alias("epos"), F.col("line").alias("eline"))
