@@ -174,11 +174,10 @@ class Encoder:
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens and ids (little-endian unsigned 32-bit integers)."""
     ranks = read_ranks(path)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))  # as large as the vocabulary file
+    table = PerfectHash(ranks)  # travels with the function, as large as the vocabulary file
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ranks, table = sent.value
         encoder = Encoder(ranks, pattern, table)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .toxicity import training_rows, held_out
@@ -132,13 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality") -> Model:
 
 def score_columns(model: Model, text: Column, cut: float | None = None) -> Column:
     """struct<expected, tail>: the expected grade and the probability of a grade above ``cut`` (default: of the highest)."""
-    sent = SparkSession.active().sparkContext.broadcast(model)  # 2**BITS weights
     k = len(model.thresholds)
     tail = k - 1 if cut is None else int(np.searchsorted(model.grades, cut, "right")) - 1
 
     @F.arrow_udf("expected double, tail double")
     def ordinal(texts: pa.Array) -> pa.Array:
-        m, hashed = sent.value, Hashed()
+        m, hashed = model, Hashed()  # the model, of 2**BITS weights, travels with the function
         p = np.array([m.above(*features(t, hashed)) for t in texts.cast(pa.binary()).to_pylist()]).reshape(len(texts), k)
         expected = m.grades[0] + p @ np.diff(m.grades)
         above = np.zeros(len(texts)) if not k or tail >= k else np.ones(len(texts)) if tail < 0 else p[:, tail]

@@ -187,21 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 
 def score_column(model: Model, text: Column) -> Column:
-    sent = _broadcast(model)
+    # The model travels with the function; LEXICON bounds its size.
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        return pa.array(sent.value.scores(texts.to_pylist()))
+        return pa.array(model.scores(texts.to_pylist()))
 
     return toxicity(text)
 
 
-def _broadcast(model: Model):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().sparkContext.broadcast(model)  # LEXICON bounds its size
-
-
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = score_column(fit(docs, labels), F.col("text"))
     scored = docs.select("doc_id", score.alias("score"))
