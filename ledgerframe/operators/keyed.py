@@ -46,3 +46,66 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, na
     r = right.select(*[F.col(c) if c in (key, time) else F.lit(None).cast(t).alias(c) for c, t in left.dtypes], F.lit(0).alias("_side"), F.col(value).alias("_v"))
     over = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return l.unionByName(r).withColumn(name, F.last("_v", ignorenulls=True).over(over)).where("_side = 1").select(*cols, name)
+
+
+def running_stream(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """``running`` on a stream of (key string, offset long, amount long): each key's sum is kept in the state store."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    state = T.StructType([T.StructField("total", T.LongType())])
+
+    class Running(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.total = handle.getValueState("total", state)
+
+        def handleInputRows(self, k, rows, timerValues):
+            total = self.total.get()[0] if self.total.exists() else 0
+            got = pd.concat(list(rows)).sort_values("offset")
+            sums = total + got["amount"].cumsum()
+            self.total.update((int(sums.iloc[-1]),))
+            yield pd.DataFrame({key: k[0], "offset": got["offset"], name: sums})
+
+        def close(self) -> None:
+            pass
+
+    own = df.select(F.col(key).cast("string").alias(key), F.col("offset").cast("long").alias("offset"), F.col(amount).cast("long").alias("amount"))
+    return own.groupBy(key).transformWithStateInPandas(Running(), f"{key} string, offset long, {name} long", outputMode="append", timeMode="none")
+
+
+def upsert_into(path: str, key: str, order: str):
+    """For ``foreachBatch``: keeps the latest row of each key under ``path``, one immutable version for each batch.
+
+    A version carries the batch's number in its name, so a batch that is tried again writes the same one.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        from ..sources.files import Files
+
+        spark = batch.sparkSession
+        done = [int(x.split("=")[1]) for x in Files(spark).names(path) if x.startswith("batch=")]
+        before = max((n for n in done if n < number), default=None)
+        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/batch={before}").unionByName(batch)
+        latest(rows, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def materialized(spark, path: str, schema, deleted: str | None = None) -> DataFrame:
+    """The newest version that :func:`upsert_into` has written, without deleted keys."""
+    from ..sources.files import Files
+
+    newest = max(int(x.split("=")[1]) for x in Files(spark).names(path) if x.startswith("batch="))
+    df = spark.read.schema(schema).parquet(f"{path}/batch={newest}")
+    return df.where(~F.col(deleted)) if deleted else df
+
+
+def lag_histogram(df: DataFrame, sent: str, stored: str, bounds: list[float]) -> DataFrame:
+    """Rows by seconds from ``sent`` to ``stored`` (microseconds): one row for each upper bound and one beyond."""
+    seconds = (F.col(stored) - F.col(sent)) / 1e6
+    slot = F.lit(len(bounds))
+    for i in reversed(range(len(bounds))):
+        slot = F.when(seconds <= bounds[i], i).otherwise(slot)
+    top = F.element_at(F.array(*[F.lit(float(b)) for b in bounds], F.lit(None).cast("double")), F.col("slot") + 1)
+    return df.groupBy(slot.alias("slot")).agg(F.count("*").alias("rows")).select(top.alias("up_to"), "rows")

@@ -19,7 +19,7 @@ from .plans import manifest
 from .schema import to_struct
 from .sources.files import shared_folder
 from .sources.stream import Stream
-from .streaming.live import Live
+from .streaming.live import Live, catch_up
 
 _int, _num, _str = {"type": "integer"}, {"type": "number"}, {"type": "string"}
 V1 = {"type": "object", "properties": {"event_id": _int, "user_id": _int, "event_type": _str, "value": _num}, "required": ["event_id", "user_id", "event_type", "value"]}
@@ -309,6 +309,19 @@ def as_of_lookup(spark, sf_dir):
     return keyed.as_of(e, p, "user_id", "at", "value", "last_purchase")
 
 
+@query(LOG + "SELECT ledger_offset, user_id FROM log WHERE ledger_offset >= n // 3 AND event_type = 'view'")
+def catch_up_join(spark, sf_dir):
+    """A third is out of replay's bound, so it comes from the snapshot; there is nothing left to follow."""
+    df, _ = catch_up(stream(spark, sf_dir), total(spark, sf_dir) // 3, {"event_type": "view"}, max_replay=10)
+    return df.select(OFFSET, "user_id")
+
+
+@query("SELECT up_to, count(*) AS n_rows FROM (SELECT CASE WHEN value <= 10 THEN 10.0 WHEN value <= 50 THEN 50.0 END::DOUBLE AS up_to FROM events) GROUP BY up_to")
+def lag_histogram(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("sent", F.col(TS)).withColumn("stored", F.col(TS) + (F.col("value") * 1e6).cast("long"))
+    return keyed.lag_histogram(df, "sent", "stored", [10.0, 50.0]).withColumnRenamed("rows", "n_rows")
+
+
 # -- SQL over the log
 
 
