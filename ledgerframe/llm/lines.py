@@ -73,7 +73,8 @@ def letter_counts(line: Column) -> Column:
 
 def count_difference(a: Column, b: Column) -> Column:
     """The sum of the differences of all counts, each modulo 16: at most twice the edit distance."""
-    steps = [(F.shiftrightunsigned(a, 4 * i) - F.shiftrightunsigned(b, 4 * i)).bitwiseAND(15) for i in range(len(LETTERS))]
+    four = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(15)
+    steps = [(four(a, i) - four(b, i)).bitwiseAND(15) for i in range(len(LETTERS))]
     return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in steps])
 
 

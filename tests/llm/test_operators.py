@@ -278,6 +278,14 @@ def test_lines_clean(spark):
     assert not {1.5, 2, 3} & {d for d, *_ in got}
 
 
+def test_letter_counts_bound_the_distance(spark):
+    texts = ["", "b" * 15, "b" * 8, "g" * 9 + "b" * 15, "etaonisrhdlucmgb" * 15, "etaonisrhdlucmgb" * 16, "a bé c" * 40, "zzz"]
+    pairs = [(x, y) for x in texts for y in [*texts, x[1:], x + "bb", x.replace("b", "e", 1)]]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.count_difference(lines.letter_counts(F.col("a")), lines.letter_counts(F.col("b"))).alias("d"))
+    assert all(r.d <= 2 * distance(r.a, r.b) for r in df.collect())
+    assert df.where("a = 'zzz' AND b = 'bbbbbbbb'").first().d == 8
+
+
 def test_banded_distance(spark):
     rng = np.random.default_rng(1)
     pairs = []
