@@ -86,9 +86,12 @@ class Snapshot:
         if self.tail is not None:
             tail = self.tail.where(F.col(OFFSET) < stop)
             frames.append(tail if start_offset is None else tail.where(F.col(OFFSET) >= start_offset))
-        frames.append(self.spark.createDataFrame([], whole))
+        if not frames:
+            return self.spark.createDataFrame([], whole)
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        df = df.select(*[F.col(f"`{n}`") for n in whole.names])
+        have = set(df.columns)
+        # Columns of logs that aren't read are null, also those of a live log without rows.
+        df = df.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in whole])
         return predicates.apply(df, None, filters, whole)
 
     def scan(self, *, columns: list[str] | None = None, where: str | None = None, filters=None, start_offset: int | None = None, end_offset: int | None = None, ordered: bool = True) -> DataFrame:

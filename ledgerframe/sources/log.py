@@ -211,7 +211,9 @@ class Log:
         """The rows with offsets in [start, stop) as of ``state``; files outside the range aren't opened."""
         state = state or self.state()
         paths = [f["path"] for f in state.files if f["rows"] and (start is None or f["last"] >= start) and (stop is None or f["first"] < stop)]
-        df = self.spark.read.schema(self.stored).parquet(*paths) if paths else self.spark.createDataFrame([], self.stored)
+        if not paths:
+            return self.spark.createDataFrame([], self.stored)
+        df = self.spark.read.schema(self.stored).parquet(*paths)
         if start is not None:
             df = df.where(F.col(OFFSET) >= start)
         return df.where(F.col(OFFSET) < stop) if stop is not None else df
