@@ -60,10 +60,9 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
         other = length - less
         for i, (at, n) in enumerate(segments(other, threshold)):
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                begin = at + shift
-                inside = (begin >= 1) & (begin + n - 1 <= length)
-                keys.append(F.when(inside, segment_key(other, i, F.substr(line, begin, n))))
-    return F.array_compact(F.array(*keys))
+                # Places begin at 1 or later; a substring that the line's end cuts short equals no segment.
+                keys.append(segment_key(other, i, F.substr(line, at + shift, n)))
+    return F.array(*keys)
 
 
 def letter_counts(line: Column) -> Column:
@@ -141,6 +140,8 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k, pos, ek, epos): a first line and an earlier one within the threshold of it, each pair once."""
+    if min_chars < 2 * threshold + 1:
+        raise ValueError("lines below 2 * threshold + 1 characters have empty segments")
     lines = at_places(docs, firsts).withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars).withColumn("counts", letter_counts(F.col("line")))
     index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("counts").alias("icounts"))
     probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("k").alias("pk"), F.col("pos").alias("ppos"), F.col("counts").alias("pcounts"))
