@@ -351,6 +351,12 @@ _sql(
     "SELECT user_id, pos, t FROM log LATERAL VIEW posexplode(sequence(event_id % 3, event_id % 3 + 2)) x AS pos, t WHERE user_id < 5",
     "SELECT user_id, CAST(p AS INT) AS pos, event_id % 3 + p AS t FROM log, range(3) r(p) WHERE user_id < 5",
 )
+# unnest_items holds a few users only; this one unnests every row of the log.
+_sql(
+    "unnest_all_items",
+    "SELECT ledger_offset, user_id, pos, t FROM log LATERAL VIEW posexplode(sequence(event_id % 3, event_id % 3 + 2)) x AS pos, t",
+    "SELECT ledger_offset, user_id, CAST(p AS INT) AS pos, event_id % 3 + p AS t FROM log, range(3) r(p)",
+)
 _sql("window_functions", "SELECT ledger_offset, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q, lag(value) OVER w AS before, lead(value) OVER w AS after, first_value(value) OVER w AS first FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ledger_offset)", "SELECT ledger_offset, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d, CAST(ntile(4) OVER w AS INT) AS q, lag(value) OVER w AS before, lead(value) OVER w AS after, first_value(value) OVER w AS first FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ledger_offset)")
 _sql("moving_average", "SELECT ledger_offset, round(avg(value) OVER (PARTITION BY user_id ORDER BY ledger_offset ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS avg5 FROM log")
 _sql("set_operations", "SELECT user_id FROM log WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM log WHERE event_type = 'signup' EXCEPT SELECT user_id FROM log WHERE value > 99.5 AND event_type = 'view'")
