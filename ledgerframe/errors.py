@@ -77,3 +77,7 @@ class CursorMovedBack(LedgerError):
 
 class TailTooLarge(LedgerError):
     pass
+
+
+class SourceUnreadable(LedgerError):
+    """A store, folder or file that the streaming source can't read."""

@@ -1,6 +1,13 @@
 """Each test holds a query or source to its whole input."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from ledgerframe import queries
+from ledgerframe.errors import SourceUnreadable
+from ledgerframe.limits import OFFSET
+from ledgerframe.sources.stream import Stream
+from ledgerframe.streaming import live
 
 
 def test_unnest_covers_every_row(spark, sf_dir):
@@ -8,3 +15,49 @@ def test_unnest_covers_every_row(spark, sf_dir):
     want = sorted((r.event_id + 1, r.user_id, p, r.event_id % 3 + p) for r in events for p in range(3))
     got = queries.QUERIES["unnest_all_items"](spark, sf_dir)
     assert sorted(map(tuple, got.select("ledger_offset", "user_id", "pos", "t").collect())) == want
+
+
+PRICE = {"type": "object", "properties": {"price": {"type": "number"}}, "required": ["price"]}
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_ledger_source_reads_every_form_of_a_path(spark, tmp_path, scheme):
+    live.register(spark)
+    s = Stream.open(spark, f"{scheme}{tmp_path}/s t", "p", PRICE)
+    name = f"forms_{len(scheme)}"
+    q = spark.readStream.format("ledger").schema(s.live.stored).option("path", s.live.path).load().select(OFFSET).writeStream.format("memory").queryName(name).start()
+    try:
+        q.processAllAvailable()  # no commit as yet
+        s.send_many([{"price": float(i)} for i in range(5)])
+        q.processAllAvailable()
+        assert sorted(r[0] for r in spark.table(name).collect()) == [1, 2, 3, 4, 5]
+    finally:
+        q.stop()
+
+
+@pytest.mark.parametrize("path", ["/nowhere/p/p-v1", "file:/nowhere/p/p-v1", "nosuch://host/p/p-v1", "hdfs://localhost:1/p/p-v1"])
+def test_ledger_source_refuses_what_it_cannot_read(spark, path):
+    live.register(spark)
+    q = spark.readStream.format("ledger").option("path", path).load().writeStream.format("memory").queryName("refused").start()
+    with pytest.raises(StreamingQueryException, match="SourceUnreadable"):
+        q.processAllAvailable()
+    q.stop()
+
+
+def test_ledger_source_reads_through_the_scheme(spark, tmp_path, monkeypatch):
+    """A store that no local path reaches, and a commit whose files are gone."""
+    from pyarrow import fs
+
+    s = Stream.open(spark, f"file://{tmp_path}/streams", "p", PRICE)
+    s.send_many([{"price": float(i)} for i in range(5)])
+    record = tmp_path / "streams/p/p-v1/_commits/00000000.json"
+    record.write_text(record.read_text().replace(f"file://{tmp_path}", "far://host"))
+    far = lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.removeprefix("far://host/"))
+    monkeypatch.setattr(live, "file_system", far)
+    reader = live.CommitReader("far://host/streams/p/p-v1", 0, s.live.stored)
+    parts = reader.partitions({"commit": -1}, reader.latestOffset())
+    assert sorted(x for p in parts for b in reader.read(p) for x in b.column(OFFSET).to_pylist()) == [1, 2, 3, 4, 5]
+    for p in parts:
+        (tmp_path / p.value.removeprefix("far://host/")).unlink()
+    with pytest.raises(SourceUnreadable):
+        reader.partitions({"commit": -1}, {"commit": 0})
