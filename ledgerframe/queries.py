@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import RowsRefused
 from .functions import codec, terms
 from .limits import OFFSET, TS
 from .operators import dedupe, keyed, outbox, retention
@@ -44,7 +45,10 @@ def stream(spark: SparkSession, sf_dir: str) -> Stream:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _streams:
         rows = events(spark, sf_dir)
-        n = rows.count()
+        # The logs are cut by offset, so ids other than 0 to n - 1 would be left out of all of them.
+        n, least, most, distinct = rows.agg(F.count("*"), F.min("event_id"), F.max("event_id"), F.countDistinct("event_id")).first()
+        if n and (least, most, distinct) != (0, n - 1, n):
+            raise RowsRefused(f"event ids aren't 0 to {n - 1}: {distinct} distinct ones from {least} to {most}")
         bounds = [0, n * 4 // 10, n * 7 // 10, n]
         s = Stream.open(spark, f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}", "events", V1)
         for i, schema in enumerate((V1, V2, V3)):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from ledgerframe import queries
-from ledgerframe.errors import SourceUnreadable
+from ledgerframe.errors import RowsRefused, SourceUnreadable
 from ledgerframe.limits import OFFSET
 from ledgerframe.llm import merkle
 from ledgerframe.sources.stream import Stream
@@ -81,3 +81,11 @@ def test_merkle_leaves_survive_lengths_and_insertions(spark):
     # A text of 80 characters before an empty one keeps 60.
     near = {r.doc_id: r.near_edited for r in merkle.report(spark.createDataFrame([(1, words[:80]), (2, "")], "doc_id long, text string")).collect()}
     assert near[1] >= 0.5
+
+
+@pytest.mark.parametrize("ids", ["id * 2", "id + 1", "id - 1", "nullif(id, 5)", "id - id % 2"])
+def test_stream_refuses_ids_it_would_lose(spark, sf_dir, tmp_path, ids):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "id")
+    e.selectExpr(f"CAST({ids} AS BIGINT) AS event_id", "user_id", "event_type", "value", "props", "ts").write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(RowsRefused):
+        queries.QUERIES["count_all"](spark, str(tmp_path))
