@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("simhash_near_dedup", dedup_near_copies), ("decontamination", drop_leaks), ("bpe", encode)]
 
-#: A learned score and fingerprints of 64-bit hashes are not SQL; a test runs all stages against brute force.
+#: A learned score and fingerprints of 64-bit hashes are not SQL; a test holds ``run`` to the stages called in turn, and each operator has a test of its own.
 ORACLE_SQL = None
 
 
