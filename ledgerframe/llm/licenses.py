@@ -4,7 +4,9 @@ A text (A-Z in lower case) has words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 two-word runs are joined with the places of those runs in templates. A match at word p of the text and
 word q of a template votes for the diagonal p - q; votes are counted by text, template and diagonal,
 diagonals that neighbour each other (words put in or left out) merge, and a span counts if the template
-places it hits cover enough of the template and it isn't much longer than the template.
+places it hits cover enough of the template and it isn't much longer than the template. Enough is a share of
+its two-word runs, or the same share of the words in them if those that name the license (words of its label)
+are all there: one word replaced or left out kills two runs, which a short template can't spare.
 
 The three base phrases are templates that must be hit in full on one diagonal: that is a place where
 their words stand consecutively. The method adds labels of longer license sentences.
@@ -47,13 +49,17 @@ def word_list(text: Column) -> Column:
 
 
 def template_rows(spark, base: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """(template, label, exact, length, place, gram) of every two-word run of every template; a fixed small table."""
+    """(template, label, exact, length, names, place, gram) of every two-word run of every template; a fixed small table.
+
+    ``names`` are the places of words that the label is made of.
+    """
     cells = [(i, label, exact, phrase) for i, (phrase, label, exact) in enumerate([(p, x, True) for p, x in base.items()] + [(p, x, False) for p, x in templates.items()])]
     rows = spark.createDataFrame(cells, "template int, label string, exact boolean, phrase string").withColumn("w", F.split("phrase", " "))
     if any(len(p.split()) < 2 for p in [*base, *templates]):
         raise ValueError("a phrase needs two words")
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)).alias("gram")))
-    return rows.select("template", "label", "exact", F.size("w").alias("length"), F.inline(runs))
+    own = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(F.split("label", "[-.]"), F.element_at("w", i + 1)))
+    return rows.select("template", "label", "exact", F.size("w").alias("length"), own.alias("names"), F.inline(runs))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, cover: float = COVER, gap: int = GAP) -> DataFrame:
@@ -61,7 +67,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     spark = docs.sparkSession
     table = template_rows(spark, base, templates)
     # A row of its own (place -1) keeps each text through the join.
-    sentinel = spark.createDataFrame([(-1, None, False, 0, 0, 0)], "template int, label string, exact boolean, length int, place int, gram long")
+    sentinel = spark.createDataFrame([(-1, None, False, 0, [], 0, 0)], "template int, label string, exact boolean, length int, names array<int>, place int, gram long")
 
     def grams(w):
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)).alias("gram")))
@@ -74,17 +80,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     known = F.broadcast(table.unionByName(sentinel))  # the templates above: fixed, some hundred rows
     voted = rows.join(known, "gram").where((F.col("template") < 0) == (F.col("at") < 0))
     diagonals = voted.groupBy("row", "doc_id", "template", "label", "exact", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
+        F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("names").alias("names")
     )
     # Diagonals of one text and template are as many as its matches: no more than its words times the template's.
     turn = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(turn) > gap) | F.lag("diagonal").over(turn).isNull()
     merged = diagonals.withColumn("cluster", F.sum(F.when(apart, 1).otherwise(0)).over(turn))
     spans = merged.groupBy("row", "doc_id", "template", "label", "exact", "length", "cluster").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hit"), F.min("first").alias("first"), (F.max("last") + 2).alias("past"), F.min("diagonal").alias("diagonal")
-    )
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first"), (F.max("last") + 2).alias("past"), F.min("diagonal").alias("diagonal"), F.first("names").alias("names")
+    ).withColumn("hit", F.size("places")).withColumn("words", F.array_union("places", F.transform("places", lambda p: p + 1)))
     share = F.col("hit") / (F.col("length") - 1)
-    good = F.when(F.col("exact"), F.col("hit") == F.col("length") - 1).otherwise((share >= cover) & (F.col("past") - F.col("first") <= F.col("length") + 2 * gap))
+    worded = (F.size("words") / F.col("length") >= cover) & (F.size("names") > 0) & (F.size(F.array_except("names", "words")) == 0)
+    good = F.when(F.col("exact"), F.col("hit") == F.col("length") - 1).otherwise(((share >= cover) | worded) & (F.col("past") - F.col("first") <= F.col("length") + 2 * gap))
     found = F.struct("template", "label", "exact", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("first")).cast("long").alias("first"), F.col("past").cast("long").alias("past"), share.alias("share"))
     def best(spans):
         """Without spans that another template's span overlaps with a larger share."""

@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from ledgerframe import queries
 from ledgerframe.errors import RowsRefused, SourceUnreadable
 from ledgerframe.limits import OFFSET
-from ledgerframe.llm import merkle
+from ledgerframe.llm import licenses, merkle
 from ledgerframe.sources.stream import Stream
 from ledgerframe.streaming import live
 
@@ -89,3 +89,13 @@ def test_stream_refuses_ids_it_would_lose(spark, sf_dir, tmp_path, ids):
     e.selectExpr(f"CAST({ids} AS BIGINT) AS event_id", "user_id", "event_type", "value", "props", "ts").write.parquet(f"{tmp_path}/events.parquet")
     with pytest.raises(RowsRefused):
         queries.QUERIES["count_all"](spark, str(tmp_path))
+
+
+def test_licenses_bear_a_replaced_and_a_left_out_word(spark):
+    texts = {
+        "Licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache Licence, version 2.0": "apache-2.0", "released under this MIT license": "mit",
+        "Licensed under the Eclipse License, version 2.0": "", "released under the ISC license": "", "Licensed under CC BY NC 4.0": "cc-by,cc-by-nc-4.0", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+    }
+    docs = spark.createDataFrame([(i, f"some words before. {t}. And some after") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
