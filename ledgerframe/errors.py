@@ -27,6 +27,10 @@ class CommitConflict(LedgerError):
     """Another writer committed first."""
 
 
+class LogSealed(CommitConflict):
+    """The log takes no more rows: its stream was migrated or retired since the handle was opened."""
+
+
 class StreamNotFound(LedgerError):
     pass
 
@@ -81,3 +85,11 @@ class TailTooLarge(LedgerError):
 
 class SourceUnreadable(LedgerError):
     """A store, folder or file that the streaming source can't read."""
+
+
+class OffsetsOutOfOrder(LedgerError):
+    """A reader was given an offset that isn't above the one before."""
+
+
+class FellBehind(LedgerError):
+    """A reader let more rows wait than it may."""

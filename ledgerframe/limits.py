@@ -12,3 +12,7 @@ KEEP_VERSIONS = 10
 RETENTION_GRACE_US = 3_600_000_000
 RESTORE_RESERVE = 1 << 20
 RESTORE_RESERVE_PUBLISHED = 1 << 40
+MAX_IN_FLIGHT = 64
+MAX_BACKLOG = 8_192
+BATCH_LIMIT = 500
+PAGE_BYTES, PAGE_ROWS = 16 << 20, 50_000  # of a page that the driver holds

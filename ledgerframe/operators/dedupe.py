@@ -80,13 +80,19 @@ def accepted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.join(v, (F.col("publisher") == F.col("_p")) & (F.col("arrival") == F.col("_a"))).where("index >= skip").drop("_p", "_a", "skip")
 
 
-def original_offsets(duplicates: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
+def original_offsets(duplicates: DataFrame, ranges: DataFrame, window: int, marks: DataFrame | None = None) -> DataFrame:
     """``duplicates`` (publisher, seq) with the offset their row got: from the ``window`` newest ranges
-    (publisher, first_seq, count, first_offset) of the publisher, else null."""
+    (publisher, first_seq, count, first_offset) of the publisher; else, at the publisher's mark (publisher, last_seq,
+    last_offset), the mark's; else null."""
     newest = _newest(ranges, window)
     met = duplicates.join(newest, "publisher", "left")
     hit = F.filter("r", lambda x: (x["first_seq"] <= F.col("seq")) & (F.col("seq") < x["first_seq"] + x["count"]))
-    return met.select(*duplicates.columns, F.try_element_at(F.transform(hit, lambda x: x["first_offset"] + F.col("seq") - x["first_seq"]), F.lit(1)).alias("offset"))
+    offset = F.try_element_at(F.transform(hit, lambda x: x["first_offset"] + F.col("seq") - x["first_seq"]), F.lit(1))
+    if marks is not None:
+        at = marks.select("publisher", F.col("last_seq").alias("_s"), F.col("last_offset").alias("_o"))
+        met = met.join(at, "publisher", "left")
+        offset = F.coalesce(offset, F.when(F.col("seq") == F.col("_s"), F.col("_o")))
+    return met.select(*duplicates.columns, offset.alias("offset"))
 
 
 def _newest(ranges: DataFrame, window: int) -> DataFrame:

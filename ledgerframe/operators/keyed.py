@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Files, stored
+
 
 def latest(df: DataFrame, key: str, order: str, deleted: str | None = None) -> DataFrame:
     """The last row of each key, without keys whose last row is a deletion.
@@ -74,30 +80,54 @@ def running_stream(df: DataFrame, key: str, amount: str, name: str) -> DataFrame
     return own.groupBy(key).transformWithStateInPandas(Running(), f"{key} string, offset long, {name} long", outputMode="append", timeMode="none")
 
 
-def upsert_into(path: str, key: str, order: str):
-    """For ``foreachBatch``: keeps the latest row of each key under ``path``, one immutable version for each batch.
+def upsert_into(path: str, key: str, order: str, buckets: int = 64):
+    """For ``foreachBatch``: keeps the latest row of each key under ``path``, in immutable versions.
 
-    A version carries the batch's number in its name, so a batch that is tried again writes the same one.
+    Keys are dealt to buckets by hash, and a batch rewrites the buckets that it touches. A version is a record of its
+    buckets' folders, written after them, whole or not at all; a batch that is tried again finds its record and changes nothing.
+    Folders that none of the last two versions names are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        from ..sources.files import Files
-
-        spark = batch.sparkSession
-        done = [int(x.split("=")[1]) for x in Files(spark).names(path) if x.startswith("batch=")]
-        before = max((n for n in done if n < number), default=None)
-        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/batch={before}").unionByName(batch)
-        latest(rows, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        files = Files(batch.sparkSession)
+        done = _versions(files, path)
+        if number in done:
+            return
+        before = _record(files, path, max((n for n in done if n < number), default=None))
+        n = before["n"] or buckets
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+        rows = latest(batch, key, order).select(*batch.columns)
+        rows = stored(rows.withColumn("_b", bucket), "upsert")
+        touched = [r[0] for r in rows.select("_b").distinct().collect()]  # as many as buckets at most
+        old = [before["folders"][str(b)] for b in touched if str(b) in before["folders"]]
+        if old:
+            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(*old).withColumn("_b", bucket))
+        folder = f"{path}/data/{number:08d}-{uuid.uuid4().hex}"
+        kept = latest(rows, key, order).select(*batch.columns, "_b")
+        kept.repartition("_b").write.partitionBy("_b").parquet(folder)
+        folders = before["folders"] | {str(b): f"{folder}/_b={b}" for b in touched}
+        files.write_new(f"{path}/versions/{number:08d}.json", json.dumps({"n": n, "folders": folders}))
+        for older in [x for x in done if x < number][:-1]:
+            for gone in set(_record(files, path, older)["folders"].values()) - set(folders.values()) - set(before["folders"].values()):
+                files.delete(gone)
+            files.delete(f"{path}/versions/{older:08d}.json")
 
     return write
 
 
-def materialized(spark, path: str, schema, deleted: str | None = None) -> DataFrame:
-    """The newest version that :func:`upsert_into` has written, without deleted keys."""
-    from ..sources.files import Files
+def _versions(files: Files, path: str) -> list[int]:
+    return sorted(int(x.removesuffix(".json")) for x in files.names(f"{path}/versions") if re.fullmatch(r"\d{8,}\.json", x))
 
-    newest = max(int(x.split("=")[1]) for x in Files(spark).names(path) if x.startswith("batch="))
-    df = spark.read.schema(schema).parquet(f"{path}/batch={newest}")
+
+def _record(files: Files, path: str, number: int | None) -> dict:
+    return {"n": None, "folders": {}} if number is None else json.loads(files.read(f"{path}/versions/{number:08d}.json"))
+
+
+def materialized(spark, path: str, schema, deleted: str | None = None) -> DataFrame:
+    """The newest version that :func:`upsert_into` has finished, without deleted keys; no rows before the first."""
+    files = Files(spark)
+    folders = list(_record(files, path, max(_versions(files, path), default=None))["folders"].values())
+    df = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
     return df.where(~F.col(deleted)) if deleted else df
 
 

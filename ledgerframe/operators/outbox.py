@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AcknowledgedRowsLost, StoreBehindBroker, StreamMismatch
+from ..sources.files import stored
 
 OUTBOX = "stream string, publisher_id string, seq bigint, row string, enqueued_at bigint"
 PUBLISHERS = "stream string, publisher_id string, next_seq bigint, stream_id string"
@@ -17,8 +18,12 @@ KEY = ["stream", "publisher_id"]
 
 
 def enqueue(rows: DataFrame, order: str, next_seq: int) -> DataFrame:
-    """``rows`` of one publisher numbered without gaps from ``next_seq`` on, in order, by counts of sorted partitions."""
-    placed = rows.orderBy(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    """``rows`` of one publisher numbered without gaps from ``next_seq`` on, in order.
+
+    They are sorted once and stored with their places, so the partitions that are counted are those that are numbered,
+    also of a source that doesn't repeat itself.
+    """
+    placed = stored(rows.orderBy(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "outbox")
     # One row for each partition.
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -80,6 +85,14 @@ def take(inbox: DataFrame, stream: str, subscriber: str, limit: int) -> DataFram
     return inbox.where((F.col("stream") == stream) & (F.col("subscriber_id") == subscriber)).orderBy("offset").limit(limit)
 
 
+def taken(inbox: DataFrame, stream: str, subscriber: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(the ``limit`` rows of lowest offset, the inbox without them). An offset is one row, so what is taken are offsets up to the last."""
+    out = stored(take(inbox, stream, subscriber, limit), "taken")
+    last = out.agg(F.max("offset")).first()[0]
+    gone = (F.col("stream") == stream) & (F.col("subscriber_id") == subscriber) & (F.col("offset") <= (-1 if last is None else last))
+    return out, inbox.where(~gone)
+
+
 class Hysteresis:
     """Pauses at the upper bound and resumes strictly below a share of it."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -66,34 +67,41 @@ class Metadata:
 
 
 class Versions:
-    """Immutable ``NNNNN-<hex>.metadata.json`` files; ``version-hint.text`` names the current one."""
+    """Immutable ``NNNNN.metadata.json`` files, of which the newest counts.
+
+    A file takes its name whole and never over another one, so the file itself is the claim: of two writers one wins,
+    and a writer that dies leaves the next version or nothing. ``version-hint.text`` names the current one for
+    people and other tools; nothing here depends on it.
+    """
 
     def __init__(self, spark: SparkSession, root: str, stream: str):
         self.files, self.folder, self.stream = Files(spark), f"{root}/{stream}.metadata", stream
 
+    def _names(self) -> list[str]:
+        return [x for x in self.files.names(self.folder) if re.fullmatch(r"\d{5,}\.metadata\.json", x)]
+
     def exists(self) -> bool:
-        return self.files.exists(f"{self.folder}/version-hint.text")
+        return bool(self._names())
 
     def load(self, stream_id: str | None = None) -> Metadata:
-        if not self.exists():
+        names = self._names()
+        if not names:
             raise StreamNotFound(f"no stream {self.stream!r}")
-        name = self.files.read(f"{self.folder}/version-hint.text").strip()
-        out = Metadata.from_json(self.files.read(f"{self.folder}/{name}"))
+        out = Metadata.from_json(self.files.read(f"{self.folder}/{max(names, key=lambda x: int(x.split('.')[0]))}"))
         if stream_id is not None and out.stream_id != stream_id:
             raise StreamMismatch(f"{self.stream} is stream {out.stream_id}, not {stream_id}")
         return out
 
     def commit(self, new: Metadata, expected: int | None) -> Metadata:
-        """Writes ``new`` as the version after ``expected``; the claim file makes one writer win."""
+        """Writes ``new`` as the version after ``expected``; a conflict if there is one already."""
         have = self.load().version if self.exists() else None
         if have != expected:
             raise CommitConflict(f"{self.stream} is at version {have}, not {expected}")
         new = replace(new, version=(expected or 0) + 1)
-        self.files.write_new(f"{self.folder}/{new.version:05d}.claim", "")
-        name = f"{new.version:05d}-{uuid.uuid4().hex}.metadata.json"
+        name = f"{new.version:05d}.metadata.json"
         self.files.write_new(f"{self.folder}/{name}", new.to_json())
         self.files.replace(f"{self.folder}/version-hint.text", name)
-        for old in [x for x in self.files.names(self.folder) if x.endswith(".metadata.json")][:-KEEP_VERSIONS]:
+        for old in sorted(self._names(), key=lambda x: int(x.split(".")[0]))[:-KEEP_VERSIONS]:
             self.files.delete(f"{self.folder}/{old}")
         return new
 

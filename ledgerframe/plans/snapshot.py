@@ -10,13 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SnapshotUnavailable, TailTooLarge
 from ..functions import terms as predicates
-from ..limits import EARLIEST, LATEST, MAX_TAIL, OFFSET, TS
+from ..limits import EARLIEST, LATEST, MAX_TAIL, OFFSET, PAGE_BYTES, PAGE_ROWS, TS
 from ..schema import SYSTEM
 from ..sources.log import Log, State
 from . import manifest
@@ -50,8 +50,12 @@ class Piece:
 
 
 class Snapshot:
-    def __init__(self, spark: SparkSession, pieces: list[Piece], end_offset: int, live: T.StructType, tail: DataFrame | None = None, floor: int = EARLIEST):
-        self.spark, self.pieces, self.end_offset, self.live, self.tail, self._floor = spark, pieces, end_offset, live, tail, floor
+    def __init__(self, spark: SparkSession, pieces: list[Piece], end_offset: int, live: T.StructType, tail: DataFrame | None = None, floor: int = EARLIEST, only: Column | None = None):
+        self.spark, self.pieces, self.end_offset, self.live, self.tail, self._floor, self.only = spark, pieces, end_offset, live, tail, floor, only
+
+    def narrowed(self, only: Column) -> Snapshot:
+        """The same snapshot, of which all reads give rows that satisfy ``only``."""
+        return Snapshot(self.spark, self.pieces, self.end_offset, self.live, self.tail, self._floor, only if self.only is None else self.only & only)
 
     @property
     def schema(self) -> T.StructType:
@@ -92,7 +96,8 @@ class Snapshot:
         have = set(df.columns)
         # Columns of logs that aren't read are null, also those of a live log without rows.
         df = df.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in whole])
-        return predicates.apply(df, None, filters, whole)
+        df = predicates.apply(df, None, filters, whole)
+        return df if self.only is None else df.where(self.only)
 
     def scan(self, *, columns: list[str] | None = None, where: str | None = None, filters=None, start_offset: int | None = None, end_offset: int | None = None, ordered: bool = True) -> DataFrame:
         """Rows in offset order; ``columns`` need not hold the offset. ``ordered=False`` leaves out the sort for what aggregates."""
@@ -110,11 +115,37 @@ class Snapshot:
         self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, logical).createOrReplaceTempView("log")
         return own.sql(query)
 
-    def rows(self, start: int = EARLIEST, stop: int | None = None) -> Iterator[tuple[int, int, dict]]:
-        """(offset, stamp, row) in offset order, piece by piece, without gathering them on the driver."""
-        for r in self.scan(start_offset=start, end_offset=stop).toLocalIterator(prefetchPartitions=True):
-            cells = r.asDict(recursive=True)
-            yield cells.pop(OFFSET), cells.pop(TS), cells
+    def rows(self, start: int = EARLIEST, stop: int | None = None, *, page_bytes: int | None = None, page_rows: int | None = None) -> Iterator[tuple[int, int, dict]]:
+        """(offset, stamp, row) in offset order, log by log, then the tail; the driver holds a page at a time.
+
+        A page is a range of offsets. The first is one offset wide; each next one is as wide as ``page_bytes`` and
+        ``page_rows`` allow, going by the bytes and rows of the one before, and at most eight times as wide. After an empty page
+        the next one begins at the next offset that a row has.
+        """
+        page_bytes, page_rows = page_bytes or PAGE_BYTES, page_rows or PAGE_ROWS
+        end = self.end_offset if stop is None else min(stop, self.end_offset)
+        names = [c for c in self.schema.names if c not in SYSTEM.names]
+        whole = T.StructType([f for f in self.schema if f.name in names])
+        for part in [*[Snapshot(self.spark, [p], min(p.stop, end), whole, None, self._floor, self.only) for p in self.pieces], *([Snapshot(self.spark, [], end, whole, self.tail, self._floor, self.only)] if self.tail is not None else [])]:
+            at, width = max([start, *[p.start for p in part.pieces]]), 1
+            if part.tail is not None:
+                at = max([start, *[p.stop for p in self.pieces]])
+            while at < part.end_offset:
+                page = part.frame(start_offset=at, end_offset=min(at + width, part.end_offset)).orderBy(OFFSET).collect()
+                for r in page:
+                    cells = r.asDict(recursive=True)
+                    yield cells[OFFSET], cells[TS], {c: cells[c] for c in names}
+                at = min(at + width, part.end_offset)
+                if page:
+                    size = sum(len(repr(tuple(r))) for r in page)
+                    width = max(1, min(8 * width, int(width * min(page_bytes / max(size, 1), page_rows / len(page)))))
+                elif at < part.end_offset:
+                    found = part.frame(start_offset=at).agg(F.min(OFFSET)).first()[0]
+                    at, width = (part.end_offset, 1) if found is None else (found, 1)
+
+    def to_arrow(self, **options):
+        """What :meth:`scan` gives, as one Arrow table on the driver."""
+        return self.scan(**options).toArrow()
 
     def floor(self) -> int | None:
         """The lowest offset held, from the records where they say; None if nothing is held."""

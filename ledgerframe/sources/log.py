@@ -1,37 +1,42 @@
 """One log: Parquet files under numbered commit records.
 
-A commit lists the files it adds and removes, with their offsets and statistics, publisher marks and, for
+A commit lists the files it adds and removes, each with its offsets and statistics, publisher marks and, for
 a streaming batch, its id. Record N is created once; whoever comes second has a conflict. A reader pins a
-commit number, and so a list of files.
+commit number, and so a list of files. A record may also seal the log; nothing is appended after that.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import time
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CommitConflict, RowsRefused
-from ..limits import FIRST_OFFSET, OFFSET, TS
+from ..errors import CommitConflict, LogSealed, RowsRefused
+from ..limits import FIRST_OFFSET, OFFSET, RETENTION_GRACE_US, TS
 from ..plans import manifest
 from ..schema import SYSTEM
 from .files import Files
 
 ROW_BITS = (1 << 33) - 1
+#: Records between checkpoints of the state, and how often a commit is tried again after another writer's.
+CHECKPOINT_EVERY, ATTEMPTS = 16, 8
 
 
 def now_us() -> int:
     return time.time_ns() // 1000
 
 
-@dataclass
+@dataclass(frozen=True)
 class State:
     """What a log holds as of one commit."""
 
@@ -41,6 +46,23 @@ class State:
     marks: dict[str, dict] = field(default_factory=dict)
     batches: dict[str, list[int]] = field(default_factory=dict)
     last_ts: int | None = None
+    sealed: dict | None = None
+
+    def after(self, version: int, record: dict) -> State:
+        """The state that a record leads to."""
+        gone = set(record.get("remove", []))
+        kept = [f for f in self.files if f["path"] not in gone] if gone else self.files
+        return State(
+            version, max(self.end, record.get("end", self.end)), [*kept, *record.get("add", [])], self.marks | record.get("marks", {}), self.batches | record.get("batches", {}),
+            record.get("ts", self.last_ts), record.get("seal", self.sealed),
+        )
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> State:
+        return State(**json.loads(text))
 
     @property
     def rows(self) -> int:
@@ -54,6 +76,16 @@ class State:
         return manifest.merged([f["stats"] for f in self.files])
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows that wait to be appended: where they are, and how many come before each of their partitions."""
+
+    path: str
+    frame: DataFrame
+    before: dict[int, int]
+    rows: int
+
+
 def violations(df: DataFrame, schema: T.StructType) -> list[tuple[str, Any]]:
     """(what is wrong, condition) of each rule a row can break."""
     out = []
@@ -102,91 +134,180 @@ class Log:
     def _record(self, version: int) -> str:
         return f"{self.path}/_commits/{version:08d}.json"
 
+    def _versions(self, folder: str) -> list[int]:
+        return sorted(int(x.removesuffix(".json")) for x in self.files.names(f"{self.path}/{folder}") if re.fullmatch(r"\d{8,}\.json", x))
+
     def state(self, version: int | None = None) -> State:
-        out = State()
-        for name in self.files.names(f"{self.path}/_commits"):
-            n = int(name.split(".")[0])
-            if version is not None and n > version:
-                break
-            record = json.loads(self.files.read(f"{self.path}/_commits/{name}"))
-            gone = set(record.get("remove", []))
-            out.files = [f for f in out.files if f["path"] not in gone] + record.get("add", [])
-            out.marks |= record.get("marks", {})
-            out.batches |= record.get("batches", {})
-            out.version, out.end = n, max(out.end, record.get("end", out.end))
-            out.last_ts = record.get("ts", out.last_ts)
+        """What the log holds as of ``version`` (default: now): the newest checkpoint up to it, and the records since."""
+        within = lambda n: version is None or n <= version
+        kept = max((n for n in self._versions("_checkpoints") if within(n)), default=None)
+        out = State() if kept is None else State.from_json(self.files.read(f"{self.path}/_checkpoints/{kept:08d}.json"))
+        for n in self._versions("_commits"):
+            if n > out.version and within(n):
+                out = out.after(n, json.loads(self.files.read(self._record(n))))
         return out
 
     def commit(self, base: State, **record) -> State:
-        """Writes the record after ``base``; a conflict if another one was written since."""
-        self.files.write_new(self._record(base.version + 1), json.dumps(record))
-        return self.state()
+        """Writes the record after ``base``; a conflict if another one was written since. Every so many records the state is kept as a checkpoint."""
+        n = base.version + 1
+        self.files.write_new(self._record(n), json.dumps(record))
+        new = base.after(n, record)
+        if n % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
+            with contextlib.suppress(CommitConflict):
+                self.files.write_new(f"{self.path}/_checkpoints/{n:08d}.json", new.to_json())
+        return new
+
+    def seal(self, kind: str, **cells) -> State:
+        """Ends the log for whoever holds a handle to it: an append that has read an older state meets a conflict, a newer one is refused."""
+        for _ in range(ATTEMPTS):
+            base = self.state()
+            if base.sealed is not None:
+                if base.sealed["kind"] != kind:
+                    raise LogSealed(f"{self.path} is sealed already: {base.sealed['kind']}")
+                return base
+            with contextlib.suppress(CommitConflict):
+                return self.commit(base, seal={"kind": kind, **cells}, end=base.end)
+        raise CommitConflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
+
+    def unseal(self) -> State:
+        base = self.state()
+        return base if base.sealed is None else self.commit(base, seal=None, end=base.end)
 
     # -- writing
 
-    def append(self, df: DataFrame, *, order_by: list[str] | None = None, ts: int | None = None, marks: dict | None = None, batch: str | None = None, start: int | None = None) -> tuple[int, int] | None:
+    def append(self, df: DataFrame, *, order_by: list[str] | None = None, ts: int | None = None, batch: str | None = None, start: int | None = None, decide: Callable[[State, int, int], tuple[int, dict]] | None = None) -> tuple[int, int] | None:
         """Appends all rows in one commit, with consecutive offsets and one stamp, and returns [first, end).
 
         ``order_by`` sets the order of the offsets; without it rows keep the order of ``df``'s partitions.
         Rows are staged first, so offsets come from rows that no longer change. ``batch`` makes the append
-        happen once, however often it is tried. One bad row refuses them all.
+        happen once, however often it is tried. One bad row refuses them all. ``decide(state, rows, first)`` says, of the
+        state that is committed upon, how many leading rows are passed over and which publisher marks are set; if
+        another writer commits meanwhile, it is asked again.
         """
         base = self.state()
         if batch is not None and batch in base.batches:
             return tuple(base.batches[batch])
-        if any(c in df.columns for c in SYSTEM.names):
-            raise RowsRefused("rows don't carry the log's own columns")
-        rows = cast_to(df, self.schema)
-        if order_by:
-            rows = rows.orderBy(*order_by)
-        broken = reduce(lambda a, b: F.coalesce(a, b), [F.col("_cast"), *[F.when(c, F.lit(what)) for what, c in violations(rows, self.schema)]])
-        stage = f"{self.path}/_stage/{uuid.uuid4().hex}"
-        placed = rows.withColumn("_bad", broken).drop("_cast").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)))
-        placed.write.option("compression", "lz4").parquet(stage)
+        if base.sealed is not None:
+            raise LogSealed(f"{self.path} is sealed: {base.sealed['kind']}")
+        staged = self._stage(df, order_by)
         try:
-            staged = self.spark.read.schema(placed.schema).parquet(stage)
-            # One row for each partition, however many rows there are.
-            parts = sorted(staged.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.when(F.col("_bad").isNotNull(), F.struct("_row", "_bad"))).alias("bad")).collect(), key=lambda r: r._part)
-            before, total = {}, 0
-            for r in parts:
-                if r.bad is not None:
-                    raise RowsRefused(f"row {total + r.bad._row}: {r.bad._bad}", total + r.bad._row)
-                before[r._part] = total
-                total += r.n
-            if not total:
-                return None
-            first, stamp = max(base.end, start or 0), now_us() if ts is None else ts
-            shift = self.spark.createDataFrame(list(before.items()), "_part int, _before long")
-            full = staged.join(F.broadcast(shift), "_part").withColumn(OFFSET, F.col("_before") + F.col("_row") + first).withColumn(TS, F.lit(stamp).cast("long")).select(*self.stored.names)
-            if self.sort_by:
-                full = full.sortWithinPartitions(*self.sort_by)
-            added = self._add(full)
-            if sum(f["rows"] for f in added) != total:
-                raise RowsRefused("staged rows were lost on the way")
-            self.commit(base, add=added, end=first + total, ts=stamp, marks=marks or {}, batches={batch: [first, first + total]} if batch is not None else {})
-            return first, first + total
+            for _ in range(ATTEMPTS):
+                base = self.state()
+                if batch is not None and batch in base.batches:
+                    return tuple(base.batches[batch])
+                if base.sealed is not None:
+                    raise LogSealed(f"{self.path} is sealed: {base.sealed['kind']}")
+                first = max(base.end, start or 0)
+                skip, marks = decide(base, staged.rows, first) if decide else (0, {})
+                n = staged.rows - skip
+                if not n:
+                    return None
+                stamp = now_us() if ts is None else ts
+                folder, added = self._add(self._placed(staged, first, stamp, skip))
+                if sum(f["rows"] for f in added) != n:
+                    raise RowsRefused("staged rows were lost on the way")
+                try:
+                    self.commit(base, add=added, end=first + n, ts=stamp, marks=marks, batches={batch: [first, first + n]} if batch is not None else {})
+                    return first, first + n
+                except CommitConflict:
+                    self.files.delete(folder)
+            raise CommitConflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
         finally:
-            self.files.delete(stage)
+            self.files.delete(staged.path)
+
+    def append_rows(self, rows: list[tuple], *, ts: int | None = None, start: int | None = None) -> tuple[int, int] | None:
+        """Appends a few rows that the driver holds, in their order, in one commit and one Spark job.
+
+        Their offsets are counted here, so nothing is staged; statistics and violations are observed as the rows are written.
+        """
+        if not rows:
+            return None
+        loose = T.StructType([T.StructField("_i", T.LongType()), *[T.StructField(f.name, f.dataType, True) for f in self.schema]])
+        try:
+            df = self.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], loose).coalesce(1)
+        except Exception as e:
+            raise RowsRefused(str(e)) from e
+        wrong = [F.when(c, F.lit(what)) for what, c in violations(df, self.schema)]
+        bad = F.struct("_i", F.coalesce(*wrong).alias("what")) if wrong else F.lit(None)
+        for _ in range(ATTEMPTS):
+            base = self.state()
+            if base.sealed is not None:
+                raise LogSealed(f"{self.path} is sealed: {base.sealed['kind']}")
+            first, stamp = max(base.end, start or 0), now_us() if ts is None else ts
+            full = df.withColumn(OFFSET, F.col("_i") + first).withColumn(TS, F.lit(stamp).cast("long"))
+            watch = Observation()
+            first_bad = F.min(F.when(F.coalesce(*wrong).isNotNull(), bad)) if wrong else F.max(F.lit(None).cast("string"))
+            seen = full.observe(watch, *manifest.cells(self.schema), first_bad.alias("bad"))
+            folder = f"{self.path}/data/{uuid.uuid4().hex}"
+            seen.select(*self.stored.names).write.parquet(folder)
+            got = watch.get
+            if got["bad"] is not None:
+                self.files.delete(folder)
+                raise RowsRefused(f"row {got['bad']['_i']}: {got['bad']['what']}", got["bad"]["_i"])
+            stats = manifest.named(got, self.schema)
+            files = self.files.parquet(folder)
+            if stats["rows"] != len(rows) or len(files) != 1:
+                raise RowsRefused("rows were lost on the way")
+            try:
+                self.commit(base, add=[{"path": f"{folder}/{files[0].rsplit('/', 1)[1]}", "rows": stats["rows"], "first": stats["first"], "last": stats["last"], "stats": stats}], end=first + len(rows), ts=stamp)
+                return first, first + len(rows)
+            except CommitConflict:
+                self.files.delete(folder)
+        raise CommitConflict(f"{self.path}: other writers were faster {ATTEMPTS} times")
 
     def append_stamped(self, df: DataFrame) -> tuple[int, int] | None:
         """Appends rows that carry their offsets and stamps already, as a table that is loaded from elsewhere; offsets stay."""
         base = self.state()
-        added = self._add(df.select(*self.stored.names))
-        rows = [f for f in added if f["rows"]]
-        if not rows:
+        if base.sealed is not None:
+            raise LogSealed(f"{self.path} is sealed: {base.sealed['kind']}")
+        folder, added = self._add(df.select(*self.stored.names))
+        if not added:
             return None
-        first, last = min(f["first"] for f in rows), max(f["last"] for f in rows)
+        first, last = min(f["first"] for f in added), max(f["last"] for f in added)
         if first < base.end:
+            self.files.delete(folder)
             raise CommitConflict(f"offset {first} is below the log's end {base.end}")
         self.commit(base, add=added, end=last + 1)
         return first, last + 1
 
-    def _add(self, df: DataFrame) -> list[dict]:
+    def _stage(self, df: DataFrame, order_by: list[str] | None) -> Staged:
+        """The rows of ``df``, cast, checked and numbered within their partitions, as files that no longer change."""
+        if any(c in df.columns for c in SYSTEM.names):
+            raise RowsRefused("rows don't carry the log's own columns")
+        rows = cast_to(df, self.schema)
+        if order_by:
+            rows = rows.orderBy(*order_by)
+        broken = reduce(lambda a, b: F.coalesce(a, b), [F.col("_cast"), *[F.when(c, F.lit(what)) for what, c in violations(rows, self.schema)]])
+        stage = f"{self.path}/_stage/{uuid.uuid4().hex}"
+        placed = rows.withColumn("_bad", broken).drop("_cast").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)))
+        placed.write.option("compression", "lz4").parquet(stage)
+        staged = self.spark.read.schema(placed.schema).parquet(stage)
+        # One row for each partition, however many rows there are.
+        parts = sorted(staged.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.when(F.col("_bad").isNotNull(), F.struct("_row", "_bad"))).alias("bad")).collect(), key=lambda r: r._part)
+        before, total = {}, 0
+        for r in parts:
+            if r.bad is not None:
+                self.files.delete(stage)
+                raise RowsRefused(f"row {total + r.bad._row}: {r.bad._bad}", total + r.bad._row)
+            before[r._part] = total
+            total += r.n
+        return Staged(stage, staged, before, total)
+
+    def _placed(self, staged: Staged, first: int, stamp: int, skip: int) -> DataFrame:
+        """The staged rows but the first ``skip``, with offsets from ``first`` on."""
+        shift = self.spark.createDataFrame(list(staged.before.items()), "_part int, _before long")
+        rows = staged.frame.join(F.broadcast(shift), "_part").withColumn("_n", F.col("_before") + F.col("_row"))
+        if skip:
+            rows = rows.where(F.col("_n") >= skip)
+        full = rows.withColumn(OFFSET, F.col("_n") - skip + first).withColumn(TS, F.lit(stamp).cast("long")).select(*self.stored.names)
+        return full.sortWithinPartitions(*self.sort_by) if self.sort_by else full
+
+    def _add(self, df: DataFrame) -> tuple[str, list[dict]]:
+        """Writes the rows; the folder, and an entry for each file that has any."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        written = self.spark.read.schema(self.stored).parquet(folder)
-        stats = manifest.statistics(written, self.schema)
-        return [{"path": folder, "rows": stats["rows"], "first": stats["first"], "last": stats["last"], "stats": stats}]
+        found = manifest.file_statistics(self.spark.read.schema(self.stored).parquet(folder), self.schema)
+        return folder, [{"path": f"{folder}/{name}", "rows": x["rows"], "first": x["first"], "last": x["last"], "stats": x} for name, x in sorted(found.items(), key=lambda e: e[1]["first"])]
 
     def compact(self) -> State:
         """All files as one run in offset order (or in ``sort_by`` order within files); offsets and rows stay the same."""
@@ -194,16 +315,35 @@ class Log:
         if len(base.files) < 2:
             return base
         rows = self.read(base).repartitionByRange(OFFSET).sortWithinPartitions(*(self.sort_by or [OFFSET]))
-        added = self._add(rows)
-        if added[0]["rows"] != base.rows:
-            raise CommitConflict(f"compaction read {added[0]['rows']} rows of {base.rows}")
+        _, added = self._add(rows)
+        if sum(f["rows"] for f in added) != base.rows:
+            raise CommitConflict(f"compaction read {sum(f['rows'] for f in added)} rows of {base.rows}")
         return self.commit(base, add=added, remove=[f["path"] for f in base.files], end=base.end)
 
     def truncate(self, floor: int) -> State:
-        """Drops whole files below ``floor``; rows of a file that straddles it stay until it is rewritten."""
+        """Drops whole files below ``floor`` and rewrites those that straddle it."""
         base = self.state()
         gone = [f["path"] for f in base.files if f["rows"] and f["last"] < floor]
-        return self.commit(base, remove=gone, end=base.end) if gone else base
+        parted = [f["path"] for f in base.files if f["rows"] and f["first"] < floor <= f["last"]]
+        added = []
+        if parted:
+            rows = self.spark.read.schema(self.stored).parquet(*parted).where(F.col(OFFSET) >= floor)
+            _, added = self._add(rows.sortWithinPartitions(*self.sort_by) if self.sort_by else rows)
+        return self.commit(base, add=added, remove=[*gone, *parted], end=base.end) if gone or parted else base
+
+    def clean(self, grace_us: int = RETENTION_GRACE_US, now: int | None = None) -> list[str]:
+        """Deletes the folders that no record names any more, or none ever did, once they are older than ``grace_us``: what compaction,
+        truncation and writers that died have left. Readers have that long to finish. Returns what went."""
+        named = {f["path"].rpartition("/")[0] for f in self.state().files}
+        now = now_us() if now is None else now
+        gone = []
+        for part in ("data", "_stage"):
+            for name in self.files.names(f"{self.path}/{part}"):
+                folder = f"{self.path}/{part}/{name}"
+                if folder not in named and now - self.files.modified_us(folder) >= grace_us:
+                    self.files.delete(folder)
+                    gone.append(folder)
+        return gone
 
     # -- reading
 

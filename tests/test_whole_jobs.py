@@ -1,15 +1,11 @@
 """Each test holds a query or source to its whole input."""
 
-import random
-import re
-
 import pytest
 from pyspark.errors import StreamingQueryException
 
 from ledgerframe import queries
 from ledgerframe.errors import RowsRefused, SourceUnreadable
 from ledgerframe.limits import OFFSET
-from ledgerframe.llm import licenses, merkle
 from ledgerframe.sources.stream import Stream
 from ledgerframe.streaming import live
 
@@ -67,35 +63,9 @@ def test_ledger_source_reads_through_the_scheme(spark, tmp_path, monkeypatch):
         reader.partitions({"commit": -1}, {"commit": 0})
 
 
-def test_merkle_leaves_survive_lengths_and_insertions(spark):
-    rng = random.Random(5)
-    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéш") for _ in range(rng.randint(a, b)))
-    words, tiny, solid = " ".join(word(1, 9) for _ in range(900))[:5000], " ".join(word(1, 3) for _ in range(1700))[:5000], word(5000, 5000)
-    pairs = [(t, "x" + t, 0.9) for t in (words, tiny, solid)] + [(words[:63], words[:65], 0.6), (words[:80], words[:60], 0.5)]
-    for t in (words, tiny, solid, "a" * 100, "ab", ""):
-        assert "".join(m[0] for m in re.finditer(merkle.LEAF, t)) == t
-    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i long, a string, b string")
-    leaves = lambda c: merkle.leaf_digests(merkle.tree(c))
-    got = {r.i: r.s for r in df.select("i", merkle.likeness(leaves(df.a), leaves(df.b)).alias("s")).collect()}
-    assert all(got[i] >= least for i, (_, _, least) in enumerate(pairs)), got
-    # A text of 80 characters before an empty one keeps 60.
-    near = {r.doc_id: r.near_edited for r in merkle.report(spark.createDataFrame([(1, words[:80]), (2, "")], "doc_id long, text string")).collect()}
-    assert near[1] >= 0.5
-
-
 @pytest.mark.parametrize("ids", ["id * 2", "id + 1", "id - 1", "nullif(id, 5)", "id - id % 2"])
 def test_stream_refuses_ids_it_would_lose(spark, sf_dir, tmp_path, ids):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "id")
     e.selectExpr(f"CAST({ids} AS BIGINT) AS event_id", "user_id", "event_type", "value", "props", "ts").write.parquet(f"{tmp_path}/events.parquet")
     with pytest.raises(RowsRefused):
         queries.QUERIES["count_all"](spark, str(tmp_path))
-
-
-def test_licenses_bear_a_replaced_and_a_left_out_word(spark):
-    texts = {
-        "Licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache Licence, version 2.0": "apache-2.0", "released under this MIT license": "mit",
-        "Licensed under the Eclipse License, version 2.0": "", "released under the ISC license": "", "Licensed under CC BY NC 4.0": "cc-by,cc-by-nc-4.0", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
-    }
-    docs = spark.createDataFrame([(i, f"some words before. {t}. And some after") for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.labels for r in licenses.report(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == list(texts.values())
