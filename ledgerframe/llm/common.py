@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import release, shared_folder, stored  # noqa: F401
+
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerframe-")
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share, also as the folder of checkpoints."""
+    folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame, name: str, block_mb: int = 16) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", block_mb << 20).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder; Spark removes it if told to clean checkpoints."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
