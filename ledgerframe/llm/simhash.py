@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 PARTS = ((0, 22), (22, 21), (43, 21))
@@ -36,6 +36,8 @@ RADIUS, WITHIN = 2, 3
 #: Comparisons that one task makes at one anchor; anchors beyond it are dealt to several tasks.
 CELL = 500_000_000
 STEP = 1 << 21
+#: Links in one file of a checkpoint.
+ROWS_PER_FILE = 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -179,8 +181,6 @@ def links(distinct: DataFrame, fp: str = "fp", threshold: int = THRESHOLD) -> Da
         return labels
 
     def compare(batches):
-        left = None
-
         def small(a, f, h, edges):
             """Many small groups at once: all pairs of a home and a copy, some million at a time."""
             sizes = np.diff(edges)
@@ -224,24 +224,35 @@ def links(distinct: DataFrame, fp: str = "fp", threshold: int = THRESHOLD) -> Da
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
+        held: list = []  # what came of the last group so far, joined once it is whole
         for batch in batches:
             cells = [np.array(c) for c in batch.columns]
-            if left is not None:
-                cells = [np.concatenate(x) for x in zip(left, cells)]
+            if not len(cells[0]):
+                continue
             a, s = cells[0], cells[1]
-            last = np.flatnonzero((a != a[-1]) | (s != s[-1]))
-            cutoff = last[-1] + 1 if len(last) else 0
-            left = [c[cutoff:] for c in cells]
-            if cutoff:
-                yield from out([c[:cutoff] for c in cells])
-        if left is not None and len(left[0]):
-            yield from out(left)
+            new = np.flatnonzero((np.diff(a) != 0) | (np.diff(s) != 0)) + 1
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (a[0], s[0]):
+                yield from out([np.concatenate(x) for x in zip(*held)])
+                held = []
+            if len(new):
+                held.append([c[: new[-1]] for c in cells])
+                yield from out([np.concatenate(x) for x in zip(*held)])
+                held = [[c[new[-1] :] for c in cells]]
+            else:
+                held.append(cells)
+        if held:
+            yield from out([np.concatenate(x) for x in zip(*held)])
 
     placed = copied.mapInArrow(deal, "anchor long, salt long, fp long, home boolean") if sizes else copied.select("anchor", F.lit(0).cast("long").alias("salt"), "fp", "home")
     met = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor", "salt").sortWithinPartitions("anchor", "salt")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows need, so that small tables don't become many small files."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node that links reach. Alternating large and small stars."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -256,35 +267,48 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
+        # Stars have no more links than there were.
+        now = cut(packed(small, state.n))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...) with ``root``, the smallest fingerprint of its component."""
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """Of rows (doc_id, fp): a row (fp, root, component_id) for each distinct fingerprint."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root")
+    own = rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("fp", "root").join(least, "root")
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id, root (the component's smallest fingerprint)."""
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
+    prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     return prints.join(classes(prints), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, its fingerprint as 16 hex digits and component_id."""
     return find(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``: that with the smallest id; of rows with one id, one."""
-    kept = find(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
+    """One row of each component of ``docs``: that with the smallest id (null last); of rows with one id, that with the
+    smallest fingerprint, then the smallest hash of its cells; of equal rows one.
+
+    Rows are numbered and fingerprinted once, as they are stored; copies of a fingerprint are reduced to the row that
+    would stay before anything is joined, and only numbers of rows decide.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
     # The row travels as one cell, so its columns may have any names.
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), fingerprint_column(F.col("text")).alias("own_fp"))
-    own = marked.join(kept, marked["own_id"].eqNullSafe(kept["kept_id"]) & (marked["own_fp"] == kept["kept_fp"]), "left_semi")
-    return own.dropDuplicates(["own_id", "own_fp"]).select("row.*")
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*names).alias("h"), fingerprint_column(F.col("text")).alias("fp"))
+    rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "marked")
+    best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "fp", "h", "number")).alias("best")
+    first = rooted(cut(rows.groupBy("fp").agg(best)))
+    kept = first.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
+    return rows.select("row", "number").join(kept, "number", "left_semi").select("row.*")
