@@ -6,9 +6,10 @@ index: for every term of the test vocabulary, the ascending positions at which i
 index is document-partitioned, so a search needs no shuffle: each block intersects the lists of a
 window, shifted by each term's offset in the window, from the rarest term on.
 
-Defined results: null and empty texts have no words and no hits; an item without words is never found;
-items with the same words are all reported; repeated rows are each reported; documents of any length
-stay in one block; columns of the input other than the id and the text aren't touched.
+Defined results: null and empty texts have no words and no hits; an item without words is never found; an item
+without an id is found, but not named or counted; items with the same words are all reported; repeated rows are
+each reported; documents of any length stay in one block; columns of the input other than the id and the text
+aren't touched.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ BLOCK_WORDS = 1 << 19
 QUERY_BYTES = 32 << 20
 
 
-def item_windows(items: list[tuple[str, bytes | None]], width: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Each distinct window of the items with the ids of the items that have it."""
+def item_windows(items: list[tuple[str | None, bytes | None]], width: int) -> dict[tuple[bytes, ...], list[str]]:
+    """Each distinct window of the items with the ids of the items that have it; an item without an id adds its windows, but no name."""
     found: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         words = alnum_words(text)
         for i in range(max(1, len(words) - width + 1) if words else 0):
-            found.setdefault(tuple(words[i : i + width]), set()).add(item)
+            own = found.setdefault(tuple(words[i : i + width]), set())
+            if item is not None:
+                own.add(item)
     return {k: sorted(v) for k, v in found.items()}
 
 
@@ -170,27 +173,29 @@ def search(indexed: DataFrame, vocabulary: list[bytes], windows: dict[tuple[byte
 def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", width=WINDOW, slop=0, block_words=BLOCK_WORDS, query_bytes=QUERY_BYTES) -> DataFrame:
     """What :func:`search` returns, for all of ``docs`` and all of ``items``.
 
-    Test items are gathered in passes of at most about ``query_bytes`` of text, whose sum is taken first;
-    the index is built and stored once for each pass, with the terms of that pass.
+    Test items are gathered in passes of at most about ``query_bytes`` of text, whose sum is taken first; the index
+    is built and stored once for each pass, with the terms of that pass. If there are several, rows are
+    numbered and stored before, and what passes find is put together by those numbers.
     """
     rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     passes = -(-int(size) // query_bytes) or 1
+    if passes > 1:
+        numbered = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+        docs, id_col, text_col = stored(docs.select(numbered.alias("key"), F.col(text_col).alias("text")), "numbered"), "key", "text"
     found = None
     for p in range(passes):
         own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
         windows = item_windows([(r.i, r.t.encode() if r.t else None) for r in own.collect()], width)
         vocabulary = sorted({w for k in windows for w in k})
         indexed = stored(index(docs, vocabulary, id_col, text_col, block_words), "postings")
-        one = search(indexed, vocabulary, windows, slop)
+        one = search(indexed, vocabulary, windows, slop).drop("block", "ordinal")
         found = one if found is None else found.unionByName(one)
-    if passes > 1:
-        # Blocks are cut by the words of documents alone, so a document has one place in all passes.
-        found = found.groupBy("block", "ordinal").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        )
-    return found.drop("block", "ordinal")
+    if passes == 1:
+        return found
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    both = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), together("items"), together("near_items"))
+    return both.select(F.col("doc_id.id").alias("doc_id"), "n_words", "spans", "items", "near_items")
 
 
 def covered(spans):
