@@ -7,9 +7,11 @@ labelled clean documents use, and hits inside them don't count. The sum of the w
 also as a share of the text's length, goes through a logistic curve fitted on labelled rows.
 
 The lexicon, the exceptions and the curve are learned from at most ``FIT_ROWS`` labelled rows that aren't
-held out, those with the smallest hashes. Defined results: null and empty texts have no hits and score as
-such; without labels of both kinds every score is 0; repeated rows are each scored; labels of documents
-that don't exist, or null labels, are left out.
+held out, those with the smallest hashes; all words and phrases that stand out in them are kept. Defined results:
+null and empty texts have no hits and score as such; without labels of both kinds every score is 0; repeated rows
+are each scored; a document without an id isn't held out; labels of documents that don't exist, or null labels, are left out; of
+several labels the largest counts; texts of any length are matched whole, in time that grows with the length
+but for a sort of the hits; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FIT_ROWS = 20_000
-LEXICON = 4_000
 MIN_DOCS = 3
 #: Letters and signs that look like or stand for Latin letters.
 LOOKALIKES = {
@@ -50,6 +51,21 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(fold(text))
 
 
+def outside(hits: list[tuple], safe: list[tuple]) -> list[tuple]:
+    """The hits (first, past, ...) that lie within no safe span, in order of their places: both lists are gone through once."""
+    if not safe:
+        return hits
+    hits, safe = sorted(hits, key=lambda h: h[:2]), sorted(safe, key=lambda s: s[:2])
+    out, reach, i = [], -1, 0
+    for h in hits:
+        while i < len(safe) and safe[i][0] <= h[0]:
+            reach = max(reach, safe[i][1])
+            i += 1
+        if h[1] > reach:
+            out.append(h)
+    return out
+
+
 class Matcher:
     """Finds lexicon words (whole words) outside exception phrases."""
 
@@ -74,9 +90,7 @@ class Matcher:
                 first = last - len(term) + 1
                 if line[first - 1] == " " and line[last + 1] == " ":
                     (safe if weight is None else hits).append((first, last + 1, term, weight))
-        if safe:
-            hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in safe)]
-        return hits, len(own)
+        return outside(hits, safe), len(own)
 
 
 def measures(matcher: Matcher, text: str | None) -> tuple[float, float, int]:
@@ -171,9 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     share = n[True] / total
     seen = F.col("toxic") + F.col("clean")
     surplus = (F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
-    terms = counts(rows).where((F.col("toxic") >= MIN_DOCS) & (odds > 2.5) & (surplus > 5)).select("term", odds.alias("w")).orderBy(F.desc(surplus), "term").limit(LEXICON).collect()
+    terms = counts(rows).where((F.col("toxic") >= MIN_DOCS) & (odds > 2.5) & (surplus > 5)).select("term", odds.alias("w")).orderBy("term").collect()
     lexicon = {r.term: float(r.w) for r in terms}
-    clean = counts(rows, set(lexicon)).where((F.col("clean") >= MIN_DOCS) & (odds < 0)).orderBy(F.desc("clean"), "term").limit(LEXICON).collect() if lexicon else []
+    clean = counts(rows, set(lexicon)).where((F.col("clean") >= MIN_DOCS) & (odds < 0)).orderBy("term").collect() if lexicon else []
     exceptions = [r.term for r in clean]
 
     def measure(batches):
@@ -187,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 
 def score_column(model: Model, text: Column) -> Column:
-    # The model travels with the function; LEXICON bounds its size.
+    # The model travels with the function; it holds words and phrases that MIN_DOCS of at most FIT_ROWS texts have.
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
