@@ -8,7 +8,9 @@ the signs around a word) and how much a text repeats itself.
 Weights are fitted on at most ``FIT_ROWS`` rated rows that aren't held out, those with the smallest hashes.
 Defined results: a null text is taken as an empty one, which has the prior's score; null ratings are left
 out; if several ratings name a document, their largest counts; without two different grades every
-document's expected grade is that grade (0 if none) and its tail probability 0.
+document's expected grade is that grade (0 if none) and its tail probability 0; repeated rows are each scored; texts of any length
+are read whole; documents that tie have equal scores, so a selection takes all of them or none; other columns
+aren't touched; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def features(text: bytes | None, hashed: Hashed) -> tuple[np.ndarray, np.ndarray
     s, sc = np.unique(pairs[:, 1], return_counts=True)
     lines = (text or b"").split(b"\n")
     distinct = len(set(own)) / n ** 0.75
-    extra = np.array([distinct, 1 - len(set(lines)) / len(lines), min(n, 200) / 200], np.float32)
+    extra = np.array([distinct, 1 - len(set(lines)) / len(lines), n / (n + 100)], np.float32)
     slots = np.concatenate([w, s, [(1 << BITS) + i for i in range(3)]]).astype(np.int32)
     return slots, np.concatenate([np.sqrt(wc / n) * 0.5, 3 * sc / n, 2 * extra]).astype(np.float32)
 
