@@ -4,14 +4,16 @@ A text (A-Z in lower case) has words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 two-word runs are joined with the places of those runs in templates. A match at word p of the text and
 word q of a template votes for the diagonal p - q; votes are counted by text, template and diagonal,
 diagonals that neighbour each other (words put in or left out) merge, and a span counts if the template
-places it hits cover enough of the template and it isn't much longer than the template. Enough is a share of
+places it hits, where the words themselves are the same, cover enough of the template and it isn't much longer than the template. Enough is a share of
 its two-word runs, or the same share of the words in them if those that name the license (words of its label)
 are all there: one word replaced or left out kills two runs, which a short template can't spare.
 
 The three base phrases are templates that must be hit in full on one diagonal: that is a place where
 their words stand consecutively. The method adds labels of longer license sentences.
 
-Defined results: null and empty texts have no words and no labels; repeated rows are each reported.
+A span gives way to one of another template that overlaps it and has a larger share. Defined results: null and empty texts
+have no words and no labels; repeated rows are each reported; texts of any length are scanned whole, and spans
+are compared with those near them only; ties stay both; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def word_list(text: Column) -> Column:
 
 
 def template_rows(spark, base: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """(template, label, exact, length, names, place, gram) of every two-word run of every template; a fixed small table.
+    """(template, label, exact, length, names, place, gram, words) of every two-word run of every template; a fixed small table.
 
     ``names`` are the places of words that the label is made of.
     """
@@ -57,7 +59,7 @@ def template_rows(spark, base: dict[str, str], templates: dict[str, str]) -> Dat
     rows = spark.createDataFrame(cells, "template int, label string, exact boolean, phrase string").withColumn("w", F.split("phrase", " "))
     if any(len(p.split()) < 2 for p in [*base, *templates]):
         raise ValueError("a phrase needs two words")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)).alias("gram")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)).alias("gram"), F.slice("w", i, F.lit(2)).alias("words")))
     own = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(F.split("label", "[-.]"), F.element_at("w", i + 1)))
     return rows.select("template", "label", "exact", F.size("w").alias("length"), own.alias("names"), F.inline(runs))
 
@@ -67,18 +69,20 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     spark = docs.sparkSession
     table = template_rows(spark, base, templates)
     # A row of its own (place -1) keeps each text through the join.
-    sentinel = spark.createDataFrame([(-1, None, False, 0, [], 0, 0)], "template int, label string, exact boolean, length int, names array<int>, place int, gram long")
+    sentinel = spark.createDataFrame([(-1, None, False, 0, [], 0, 0, [])], "template int, label string, exact boolean, length int, names array<int>, place int, gram long, words array<string>")
 
     def grams(w):
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)).alias("gram")))
-        own = F.array(F.struct((-1 - F.size(w)).alias("at"), F.lit(0).cast("long").alias("gram")))
-        return F.concat(own, F.when(F.size(w) > 1, runs).otherwise(F.array().cast("array<struct<at:int,gram:bigint>>")))
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)).alias("gram"), F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b")))
+        kind = "array<struct<at:int,gram:bigint,a:string,b:string>>"
+        own = F.array(F.struct((-1 - F.size(w)).alias("at"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("a"), F.lit("").alias("b"))).cast(kind)
+        return F.concat(own, F.when(F.size(w) > 1, runs.cast(kind)).otherwise(F.array().cast(kind)))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = numbered.select("row", "doc_id", F.inline(let(word_list(F.col("text")), grams)))
     # The sentinel's gram is 0; a run that hashes to 0 by chance has a place from 0 and is kept apart.
     known = F.broadcast(table.unionByName(sentinel))  # the templates above: fixed, some hundred rows
-    voted = rows.join(known, "gram").where((F.col("template") < 0) == (F.col("at") < 0))
+    same = F.when(F.col("template") < 0, F.col("at") < 0).otherwise((F.col("at") >= 0) & (F.col("words")[0] == F.col("a")) & (F.col("words")[1] == F.col("b")))
+    voted = rows.join(known, "gram").where(same).drop("a", "b", "words")
     diagonals = voted.groupBy("row", "doc_id", "template", "label", "exact", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("names").alias("names")
     )
@@ -93,15 +97,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     worded = (F.size("words") / F.col("length") >= cover) & (F.size("names") > 0) & (F.size(F.array_except("names", "words")) == 0)
     good = F.when(F.col("exact"), F.col("hit") == F.col("length") - 1).otherwise(((share >= cover) | worded) & (F.col("past") - F.col("first") <= F.col("length") + 2 * gap))
     found = F.struct("template", "label", "exact", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("first")).cast("long").alias("first"), F.col("past").cast("long").alias("past"), share.alias("share"))
-    def best(spans):
-        """Without spans that another template's span overlaps with a larger share."""
-        beaten = lambda s, t: ~t.exact & (t.template != s.template) & (t["first"] < s.past) & (s["first"] < t.past) & (t.share > s.share)
-        return F.filter(spans, lambda s: s.exact | ~F.exists(spans, lambda t: beaten(s, t)))
-
-    gathered = spans.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("template") < 0, -1 - F.col("diagonal"))).cast("long").alias("n_words"), F.sort_array(F.collect_list(F.when((F.col("template") >= 0) & good, found))).alias("spans"),
-    )
-    return gathered.select("doc_id", "n_words", let(F.col("spans"), best).alias("spans"))
+    # Spans that overlap begin within a template's length of one another.
+    reach = max(len(x.split()) for x in [*base, *templates]) + 2 * gap
+    near = Window.partitionBy("row").orderBy("first").rangeBetween(-reach, reach)
+    good = spans.select("row", "doc_id", "template", "diagonal", "first", F.when((F.col("template") >= 0) & good, found).alias("s"))
+    others = good.withColumn("others", F.when(F.col("template") >= 0, F.collect_list("s").over(near)))
+    beaten = F.exists("others", lambda t: ~t.exact & (t.template != F.col("s.template")) & (t["first"] < F.col("s.past")) & (F.col("s.first") < t.past) & (t.share > F.col("s.share")))
+    stays = F.when(F.col("s").isNotNull() & (F.col("s.exact") | ~beaten), F.col("s"))
+    return others.groupBy("row", "doc_id").agg(F.max(F.when(F.col("template") < 0, -1 - F.col("diagonal"))).cast("long").alias("n_words"), F.sort_array(F.collect_list(stays)).alias("spans")).select("doc_id", "n_words", "spans")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
