@@ -5,8 +5,8 @@ removed from a document if its word sequence also starts in a document with a sm
 windows merge into maximal intervals of words.
 
 Documents are packed into blocks of some hundred thousand words. A block holds each distinct window
-hash once, with the smallest document that has it, and sends one packed run of hashes to each of a fixed
-number of hash buckets; so a window that a third of all documents have is one entry for each block. A
+hash once, with the smallest document that has it, and sends one packed run of hashes to each of a number of
+hash buckets that goes by the size of the input; so a window that a third of all documents have is one entry for each block. A
 bucket answers each run with one bit for each entry: whether a smaller document in another block has it.
 The block's compressed texts travel beside the hashes and meet the answers in a second shuffle.
 
@@ -14,8 +14,8 @@ Two windows count as equal if their 64-bit hashes are equal: at n windows, about
 are taken for equal wrongly (below one for a billion windows).
 
 Defined results: null and empty texts, and texts of fewer words than a window, lose nothing; rows with
-the same id never remove one another's words; a null id counts as larger than any other; a text of any
-length stays whole, in one block. Ids are integers.
+the same id never remove one another's words; a null id counts as the largest there can be (2**63 - 1); a text of any
+length stays whole, in one block; other columns aren't touched; an empty table gives an empty one. Ids are integers.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 WINDOW = 50
 BLOCK_WORDS = 1 << 19
-#: Hashes go to 2**BUCKET_BITS buckets by their upper bits; entries keep the lower 56.
-BUCKET_BITS = 9
+#: Hashes go to 2**n buckets by their upper bits, n within these bounds: as many as make a bucket of some 4 MB of input. Entries
+#: keep the lower 56 bits.
+BUCKET_BITS, BUCKET_BYTES = (9, 14), 4 << 20
 CHUNK = 1 << 18
 #: An odd multiplier and its inverse, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -97,9 +98,8 @@ def widen(b: bytes) -> np.ndarray:
 class Block:
     """The windows of a run of documents sorted by id: each distinct hash at its first place."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int, word_hash: WordHash, powers: Powers, words=None):
-        self.ids = ids
-        words = words or [t.split() for t in texts]
+    def __init__(self, ids: np.ndarray, words: list[list[bytes]], width: int, bits: int, word_hash: WordHash, powers: Powers):
+        self.ids, self.bits = ids, bits
         self.counts = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(self.counts) - self.counts
         flat = np.empty(int(self.counts.sum()), np.uint64)
@@ -121,13 +121,13 @@ class Block:
         first = order[new]  # in order of hashes
         self.hashes, self.first_doc = ranked[new], doc[first]
         # Entries within a bucket go by document, so that documents are runs.
-        self.bucket = (self.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        self.bucket = (self.hashes >> np.uint64(64 - bits)).astype(np.int64)
         self.sent = np.lexsort((self.first_doc, self.bucket))
-        self.edges = np.searchsorted(self.bucket[self.sent], np.arange((1 << BUCKET_BITS) + 1))
+        self.edges = np.searchsorted(self.bucket[self.sent], np.arange((1 << bits) + 1))
 
     def runs(self):
         """(bucket, packed hashes, packed documents) of each bucket that has entries."""
-        for b in range(1 << BUCKET_BITS):
+        for b in np.unique(self.bucket).tolist():
             own = self.sent[self.edges[b] : self.edges[b + 1]]
             if len(own):
                 low = self.hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
@@ -160,7 +160,13 @@ def unpack_ids(b: bytes) -> np.ndarray:
     return np.repeat(ids, counts)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def bucket_bits(docs: DataFrame) -> int:
+    """From the size of the input as the plan has it; the result is the same for any number of buckets."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // BUCKET_BYTES).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS, bits: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, the removed intervals of words and the text that is kept.
 
     ``removed`` holds [first, past) of words, ascending, apart from one another; ``kept`` joins the words
@@ -168,6 +174,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     """
     names = ["target", "block", "bucket", "payload", "ids"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    bits = bits or bucket_bits(docs)
+    if not 8 <= bits <= 24:
+        raise ValueError("entries keep 56 bits of a hash, so buckets take 8 at least")
 
     def rows(cells):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names)
@@ -175,20 +184,21 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     def pack(batches):
         word_hash, powers, press = WordHash(), Powers(), zstandard.ZstdCompressor(3)
         base, blocks = TaskContext.get().partitionId() << 32, 0
-        ids, texts, words, total = [], [], [], 0
+        ids, none, texts, words, total = [], [], [], [], 0
 
         def flush():
             key = base + blocks
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             own = [texts[i] for i in order]
-            block = Block(np.array(ids, np.int64)[order], [t or b"" for t in own], width, word_hash, powers, [words[i] for i in order])
+            block = Block(np.array(ids, np.int64)[order], [words[i] for i in order], width, bits, word_hash, powers)
+            unnamed = [none[i] for i in order]
             out, size, begun, part = [], 0, 0, 0
             for i, t in enumerate(own):
                 size += len(t or b"") + 16
                 if size >= CHUNK or i + 1 == len(own):
-                    lengths = np.array([len(x) + 1 if x is not None else 0 for x in own[begun : i + 1]], "<u8")
+                    lengths = np.array([2 * (len(x) + 1 if x is not None else 0) + u for x, u in zip(own[begun : i + 1], unnamed[begun : i + 1])], "<u8")
                     blob = len(lengths).to_bytes(8, "little") + block.ids[begun : i + 1].astype("<i8").tobytes() + lengths.tobytes() + b"".join(x or b"" for x in own[begun : i + 1])
-                    out.append(((1 << BUCKET_BITS) + int((key * 31 + part) % 4093), key, -1 - part, press.compress(blob), None))
+                    out.append(((1 << bits) + int((key * 31 + part) % 4093), key, -1 - part, press.compress(blob), None))
                     size, begun, part = 0, i + 1, part + 1
             yield rows(out)
             out = []
@@ -203,13 +213,14 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 ids.append(NO_ID if doc is None else doc)
+                none.append(doc is None)
                 texts.append(text)
                 words.append((text or b"").split())
                 total += len(words[-1]) + 1
                 if total >= block_words:
                     yield from flush()
                     blocks += 1
-                    ids, texts, words, total = [], [], [], 0
+                    ids, none, texts, words, total = [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -241,7 +252,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
 
     def apply(group):
         """One block: its documents with what goes."""
-        ids, texts, answers = [], [], {}
+        ids, none, texts, answers = [], [], [], {}
         unpress = zstandard.ZstdDecompressor()
         cells = sorted(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist()), key=lambda x: -x[0])
         for bucket, payload in cells:
@@ -253,23 +264,25 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
             ids.append(np.frombuffer(blob, "<i8", n, 8))
             at = 8 + 16 * n
             for length in np.frombuffer(blob, "<u8", n, 8 + 8 * n).tolist():
+                none.append(bool(length & 1))
+                length >>= 1
                 texts.append(blob[at : at + length - 1] if length else None)
                 at += max(length - 1, 0)
         ids = np.concatenate(ids)
         words = [(t or b"").split() for t in texts]
-        block = Block(ids, [], width, WordHash(), Powers(), words)
+        block = Block(ids, words, width, bits, WordHash(), Powers())
         gone = block.removed(answers)
         step = np.zeros(int(block.counts.sum()) + 1, np.int64)
         np.add.at(step, block.at[gone], 1)
         np.add.at(step, block.at[gone] + width, -1)
         bad = np.cumsum(step) > 0
         out = []
-        for doc, start, own in zip(ids.tolist(), block.starts.tolist(), words):
+        for doc, unnamed, start, own in zip(ids.tolist(), none, block.starts.tolist(), words):
             off = bad[start : start + len(own)]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], off.view(np.int8), [0]])))
             spans = [{"first": int(a), "past": int(b)} for a, b in edges.reshape(-1, 2)]
             kept = b" ".join([w for w, x in zip(own, off.tolist()) if not x] if spans else own)
-            out.append((None if doc == NO_ID else doc, len(own), spans, kept))
+            out.append((None if unnamed else doc, len(own), spans, kept))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())])), pa.binary()]
         arrays = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
         return pa.Table.from_arrays([*arrays[:3], arrays[3].cast(pa.string())], ["doc_id", "n_words", "removed", "kept"])
