@@ -3,15 +3,18 @@
 The pattern splits a text into pre-tokens. A minimal perfect hash (hash and displace: one slot for each
 vocabulary entry, none empty) resolves those that are vocabulary entries as a whole. The others are merged
 by a heap of (rank, place) over a linked list of their byte parts, which takes n log n steps for a
-pre-token of n bytes. Within a task, each distinct pre-token is resolved once, with a bound on what is kept.
+pre-token of n bytes. Within a worker process, each distinct pre-token is resolved once, with a bound on what is kept.
 
-Defined results: a null text is encoded as an empty one; decoding gives back the text's UTF-8 bytes.
-The vocabulary file's path is a parameter; the driver reads it and sends it to the executors.
+Defined results: a null text is encoded as an empty one, which has no ids; decoding gives back the text's UTF-8 bytes;
+repeated rows are each encoded, null ids and ids of any type come back as they are, an empty table gives an empty one, a text of any length is
+encoded whole, and columns other than the id and the text aren't touched. The vocabulary file's path is a parameter; the driver
+reads it and sends it to the executors.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -171,41 +174,65 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens and ids (little-endian unsigned 32-bit integers)."""
+_kept: dict[str, tuple] = {}
+
+
+def kept(key: str, make) -> tuple:
+    """What this process has made for that key; only the last one is kept."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {r: t for t, r in ranks.items()}.__getitem__
+
+    def decode(self, ids: list[bytes | None]) -> list[bytes]:
+        return [b"".join(map(self.token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_tokens and ids (little-endian unsigned 32-bit integers).
+
+    With ``decoded``, also the bytes that the ids stand for, decoded from them in the same process.
+    """
     ranks = read_ranks(path)
-    table = PerfectHash(ranks)  # travels with the function, as large as the vocabulary file
-    kind = docs.schema[id_col].dataType.simpleString()
+    # As large as the vocabulary file. A worker process reads it and builds its tables once, whatever tasks it runs.
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
+    kind, key = docs.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(ranks, pattern, table)
+        encoder, decoder = kept(key, lambda: (Encoder(sent.value[0], pattern, sent.value[1]), Decoder(sent.value[0])))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                cells = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    cells.append(pa.array(decoder.decode(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n_tokens", "ids", "decoded"][: len(cells)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for, in column ``decoded``."""
-    ranks = read_ranks(path)
-    sent = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    sent = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
     fields = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
-        token = sent.value.__getitem__
+        decoder = Decoder(sent.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                raw = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*fields, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoder.decode(part.column("ids").to_pylist()), pa.binary())], [*fields, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(fields).schema)
     return encoded.select(fields).mapInArrow(run, schema + ", decoded binary")
 
 
 def report(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
-    both = decode(encode(docs, path, pattern, **options), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """One row for each row of ``docs``: doc_id, n_tokens, and digests of its ids and of the bytes that they decode to."""
+    return encode(docs, path, pattern, decoded=True, **options).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
