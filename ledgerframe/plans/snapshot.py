@@ -115,10 +115,10 @@ class Snapshot:
         self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, logical).createOrReplaceTempView("log")
         return own.sql(query)
 
-    def rows(self, start: int = EARLIEST, stop: int | None = None, *, page_bytes: int | None = None, page_rows: int | None = None) -> Iterator[tuple[int, int, dict]]:
+    def rows(self, start: int = EARLIEST, stop: int | None = None, *, page_bytes: int | None = None, page_rows: int | None = None, width: int = 1) -> Iterator[tuple[int, int, dict]]:
         """(offset, stamp, row) in offset order, log by log, then the tail; the driver holds a page at a time.
 
-        A page is a range of offsets. The first is one offset wide; each next one is as wide as ``page_bytes`` and
+        A page is a range of offsets. The first is ``width`` offsets wide; each next one is as wide as ``page_bytes`` and
         ``page_rows`` allow, going by the bytes and rows of the one before, and at most eight times as wide. After an empty page
         the next one begins at the next offset that a row has.
         """
@@ -127,7 +127,7 @@ class Snapshot:
         names = [c for c in self.schema.names if c not in SYSTEM.names]
         whole = T.StructType([f for f in self.schema if f.name in names])
         for part in [*[Snapshot(self.spark, [p], min(p.stop, end), whole, None, self._floor, self.only) for p in self.pieces], *([Snapshot(self.spark, [], end, whole, self.tail, self._floor, self.only)] if self.tail is not None else [])]:
-            at, width = max([start, *[p.start for p in part.pieces]]), 1
+            at = max([start, *[p.start for p in part.pieces]])
             if part.tail is not None:
                 at = max([start, *[p.stop for p in self.pieces]])
             while at < part.end_offset:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .errors import RowsRefused
 from .functions import codec, terms
-from .limits import OFFSET, TS
+from .limits import DEDUPE_WINDOW, OFFSET, TS
 from .operators import dedupe, keyed, outbox, retention
 from .plans import manifest
 from .schema import to_struct
@@ -352,12 +352,6 @@ _sql(
 )
 _sql(
     "unnest_items",
-    "SELECT user_id, pos, t FROM log LATERAL VIEW posexplode(sequence(event_id % 3, event_id % 3 + 2)) x AS pos, t WHERE user_id < 5",
-    "SELECT user_id, CAST(p AS INT) AS pos, event_id % 3 + p AS t FROM log, range(3) r(p) WHERE user_id < 5",
-)
-# unnest_items holds a few users only; this one unnests every row of the log.
-_sql(
-    "unnest_all_items",
     "SELECT ledger_offset, user_id, pos, t FROM log LATERAL VIEW posexplode(sequence(event_id % 3, event_id % 3 + 2)) x AS pos, t",
     "SELECT ledger_offset, user_id, CAST(p AS INT) AS pos, event_id % 3 + p AS t FROM log, range(3) r(p)",
 )
@@ -412,11 +406,11 @@ def dedupe_gaps(spark, sf_dir):
     return dedupe.judge(_frames(spark, sf_dir, True)).select("publisher", "arrival", "seq", "gap", "append", "last")
 
 
-@query(FRAMES + "SELECT d.publisher, d.seq, d.seq * 10 AS \"offset\" FROM (SELECT publisher, seq FROM f WHERE rn % 3 = 0) d JOIN (SELECT publisher, max(seq) AS m FROM f GROUP BY publisher) USING (publisher) WHERE seq > m - 64")
+@query(FRAMES + "SELECT d.publisher, d.seq, CASE WHEN seq > m - 64 THEN d.seq * 10 END AS \"offset\" FROM (SELECT publisher, seq FROM f WHERE rn % 3 = 0) d JOIN (SELECT publisher, max(seq) AS m FROM f GROUP BY publisher) USING (publisher)")
 def dedupe_original_offset(spark, sf_dir):
     frames = _frames(spark, sf_dir, False)
     ranges = frames.groupBy("publisher", "seq").agg(F.first("count").alias("count")).select("publisher", F.col("seq").alias("first_seq"), "count", (F.col("seq") * 10).alias("first_offset"))
-    return dedupe.original_offsets(frames.where("rn % 3 = 0").select("publisher", "seq"), ranges, 64).where("offset IS NOT NULL")
+    return dedupe.original_offsets(frames.where("rn % 3 = 0").select("publisher", "seq"), ranges, DEDUPE_WINDOW)
 
 
 # -- outbox and inbox

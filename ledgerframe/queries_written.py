@@ -116,40 +116,38 @@ def publish_refusals(spark, sf_dir):
     """What a repeat, a gap, a number below 1 and an empty name meet, and how many rows they add: none."""
     s = written(spark, sf_dir)
     before = s.snapshot().count()
-    rows = plain(spark, sf_dir)
-    mark = s.last_seq("p")
-    acts = {"again": ("p", mark, rows.limit(1)), "gap": ("p", mark + 2, rows.limit(1)), "zero": ("p", 0, rows.limit(1)), "no name": ("", 1, rows.limit(1))}
+    rows = plain(spark, sf_dir).where(F.col("event_id").between(before // 2, before * 3 // 4 - 1))
+    acts = {"again": ("p", 1, rows), "gap": ("p", s.last_seq("p") + 2, rows), "zero": ("p", 0, rows), "no name": ("", 1, rows)}
     return spark.createDataFrame([(k, outcome(lambda: s.publish(*a)), s.snapshot().count() - before) for k, a in acts.items()], "what string, got string, n long")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS ledger_offset, 1 + (row_number() OVER (ORDER BY event_id) - 1) // 100 AS page FROM events WHERE event_id % 97 = 5")
+@query("SELECT event_id, event_id + 1 AS ledger_offset, 1 + event_id // 2000 AS page FROM events")
 def grouped_sends(spark, sf_dir):
-    """Single rows through a writer that commits together what waits; read again in batches of 100."""
+    """Every row by itself through a writer that commits together what waits; read again in batches of 2,000."""
     s = Stream.open(spark, fresh(spark, "sends"), "sends", V1)
-    rows = [r.asDict() for r in plain(spark, sf_dir).where("event_id % 97 = 5").drop("props").orderBy("event_id").collect()]
-    with Writer(s, group_rows=400) as w:
-        promised = [w.submit(r) for r in rows]
-    assert [p.result() for p in promised] == list(range(1, len(rows) + 1)) and s.stats().files <= len(rows)
-    sub, out, page = Subscription(s, EARLIEST), [], 1
-    while got := sub.receive(100, timeout=0):
+    rows = plain(spark, sf_dir).drop("props").orderBy("event_id")
+    with Writer(s) as w:
+        promised = [w.submit(r.asDict()) for r in rows.toLocalIterator()]
+    assert [p.result() for p in promised] == list(range(1, len(promised) + 1))
+    sub, out, page = Subscription(s, EARLIEST, max_backlog=len(promised)), [], 1
+    while got := sub.receive(2000, timeout=0):
         out += [(r["event_id"], o, page) for o, _, r in got]
         page += 1
     return spark.createDataFrame(out, f"event_id long, {OFFSET} long, page long")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS ledger_offset FROM events WHERE event_id % 211 = 7")
+@query("SELECT event_id, event_id + 1 AS ledger_offset FROM events")
 def pipelined_publication(spark, sf_dir):
-    """A publisher with a window of rows in flight, begun anew half-way by one that sends half of it again."""
+    """Every row by itself by a publisher with a window of rows in flight, begun anew half-way by one that sends a quarter of them again."""
     s = Stream.open(spark, fresh(spark, "publication"), "publication", V1)
-    rows = [r.asDict() for r in plain(spark, sf_dir).where("event_id % 211 = 7").drop("props").orderBy("event_id").collect()]
-    half = len(rows) // 2
-    first = Publication(s, "p", max_in_flight=20)
-    first.submit_many(rows[:half])
-    first.flush()
-    again = Publication(s, "p", max_in_flight=20)
-    again.next_seq = half // 2 + 1
-    again.submit_many(rows[half // 2 :])
-    again.flush()
+    rows = plain(spark, sf_dir).drop("props")
+    n = rows.count()
+    first, again = Publication(s, "p", max_in_flight=4096), Publication(s, "p", max_in_flight=4096)
+    again.next_seq = n // 4 + 1
+    for p, own in ((first, rows.where(F.col("event_id") < n // 2)), (again, rows.where(F.col("event_id") >= n // 4))):
+        for r in own.orderBy("event_id").toLocalIterator():
+            p.submit(r.asDict())
+        p.flush()
     return s.snapshot().frame().select("event_id", OFFSET)
 
 
@@ -184,7 +182,7 @@ def stale_handles(spark, sf_dir):
     """What handles that were opened before a migration or the stream's end meet, and what each way to open does."""
     root = fresh(spark, "life")
     s, old = Stream.open(spark, root, "life", V1), Stream.open(spark, root, "life", V1)
-    rows = plain(spark, sf_dir).limit(3)
+    rows = plain(spark, sf_dir)
     s.migrate(V2)
     out = [("append after migrate", outcome(lambda: old.append(rows.drop("props")))), ("append once refreshed", outcome(lambda: old.append(rows)))]
     stale = Stream.open(spark, root, "life")
@@ -284,30 +282,32 @@ def followed_source(spark, sf_dir):
     return spark.read.schema(f"{OFFSET} long, event_id long").parquet(out)
 
 
-@query("SELECT 'first' AS what, CAST(3 AS BIGINT) AS n, CAST(3 AS BIGINT) AS cursor UNION ALL SELECT 'again', 3, 3 UNION ALL SELECT 'rest', 4, 10 UNION ALL SELECT 'back', 8, 10")
+@query("WITH c AS (SELECT count(*) AS n, count(*) // 3 AS q FROM events) SELECT 'first' AS what, q AS n, q AS cursor FROM c UNION ALL SELECT 'again', q, q FROM c UNION ALL SELECT 'rest', n - q - q, n FROM c UNION ALL SELECT 'back', n - 2, n FROM c")
 def cursor_moves(spark, sf_dir):
     """A reader's batches and its cursor: a batch that isn't followed by another request is delivered again."""
-    s = Stream.open(spark, fresh(spark, "cursor"), "cursor", V1)
-    s.send_many([r.asDict() for r in plain(spark, sf_dir).drop("props").orderBy("event_id").limit(10).collect()])
-    at = fresh(spark, "cursor-file")
-    out = []
-
-    def note(name, sub, n):
-        out.append((name, n, sub.cursor.load()))
-
-    one = Subscription(s, 1, cursor=Cursor(spark, at, every=0))
-    one.receive(3), one.receive(3)
-    note("first", one, 3)
-    two = Subscription(s, cursor=Cursor(spark, at, every=0))
-    note("again", two, len(two.receive(3)))
-    rest = two.receive(100)
+    s = Stream.open(spark, fresh(spark, "cursor"), "cursor", V2)
+    rows = plain(spark, sf_dir)
+    n = rows.count()
+    s.append(rows, order_by=["event_id"])
+    at, out = fresh(spark, "cursor-file"), []
+
+    def note(name, sub, got):
+        out.append((name, len(got), sub.cursor.load()))
+
+    reader = lambda **cells: Subscription(s, cursor=Cursor(spark, at, every=0), max_backlog=n, **cells)
+    one = reader(offset=1)
+    one.receive(n // 3)
+    note("first", one, one.receive(n // 3))
+    two = reader()
+    note("again", two, two.receive(n // 3))
+    rest = two.receive(n)
     two.close()
-    note("rest", two, len(rest))
+    note("rest", two, rest)
     two.commit(2)
-    three = Subscription(s, cursor=Cursor(spark, at, every=0))
-    got = three.receive(100)
+    three = reader()
+    got = three.receive(n)
     three.close()
-    note("back", three, len(got))
+    note("back", three, got)
     return spark.createDataFrame(out, "what string, n long, cursor long")
 
 
@@ -341,11 +341,11 @@ def upserted_view(spark, sf_dir):
 # -- outbox, inbox, duplicates
 
 
-@query("SELECT seq, enqueued_at FROM (SELECT row_number() OVER (ORDER BY event_id) AS seq, epoch_us(ts) AS enqueued_at FROM events WHERE user_id = 3) ORDER BY seq LIMIT 20")
+@query("SELECT row_number() OVER (ORDER BY event_id) AS seq, epoch_us(ts) AS enqueued_at FROM events WHERE event_type = 'view' ORDER BY seq LIMIT 100")
 def outbox_pending(spark, sf_dir):
-    e = events(spark, sf_dir).where("user_id = 3")
-    rows = keyed.running(e, "user_id", OFFSET, F.lit(1), "seq").select(F.lit("s").alias("stream"), F.lit("p").alias("publisher_id"), "seq", F.col("props").alias("row"), F.col(TS).alias("enqueued_at"))
-    return outbox.pending(rows, "s", "p", 20).select("seq", "enqueued_at")
+    """The next rows of one stream's publisher, of an outbox of all."""
+    rows = keyed.running(events(spark, sf_dir), "event_type", OFFSET, F.lit(1), "seq").select(F.col("event_type").alias("stream"), F.lit("p").alias("publisher_id"), "seq", F.col("props").alias("row"), F.col(TS).alias("enqueued_at"))
+    return outbox.pending(rows, "view", "p", 100).select("seq", "enqueued_at")
 
 
 @query("SELECT CASE WHEN r <= 25 AND user_id = 2 THEN 'taken' ELSE 'left' END AS side, count(*) AS n, min(event_id + 1) AS first, max(event_id + 1) AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY side")

@@ -215,8 +215,8 @@ class Log:
         finally:
             self.files.delete(staged.path)
 
-    def append_rows(self, rows: list[tuple], *, ts: int | None = None, start: int | None = None) -> tuple[int, int] | None:
-        """Appends a few rows that the driver holds, in their order, in one commit and one Spark job.
+    def append_rows(self, rows: list[tuple], *, ts: int | None = None, start: int | None = None, decide: Callable[[State, int, int], tuple[int, dict]] | None = None) -> tuple[int, int] | None:
+        """Appends a few rows that the driver holds, in their order, in one commit and one Spark job; ``decide`` as for :meth:`append`.
 
         Their offsets are counted here, so nothing is staged; statistics and violations are observed as the rows are written.
         """
@@ -234,7 +234,11 @@ class Log:
             if base.sealed is not None:
                 raise LogSealed(f"{self.path} is sealed: {base.sealed['kind']}")
             first, stamp = max(base.end, start or 0), now_us() if ts is None else ts
-            full = df.withColumn(OFFSET, F.col("_i") + first).withColumn(TS, F.lit(stamp).cast("long"))
+            skip, marks = decide(base, len(rows), first) if decide else (0, {})
+            n = len(rows) - skip
+            if not n:
+                return None
+            full = df.where(F.col("_i") >= skip).withColumn(OFFSET, F.col("_i") - skip + first).withColumn(TS, F.lit(stamp).cast("long"))
             watch = Observation()
             first_bad = F.min(F.when(F.coalesce(*wrong).isNotNull(), bad)) if wrong else F.max(F.lit(None).cast("string"))
             seen = full.observe(watch, *manifest.cells(self.schema), first_bad.alias("bad"))
@@ -246,11 +250,11 @@ class Log:
                 raise RowsRefused(f"row {got['bad']['_i']}: {got['bad']['what']}", got["bad"]["_i"])
             stats = manifest.named(got, self.schema)
             files = self.files.parquet(folder)
-            if stats["rows"] != len(rows) or len(files) != 1:
+            if stats["rows"] != n or len(files) != 1:
                 raise RowsRefused("rows were lost on the way")
             try:
-                self.commit(base, add=[{"path": f"{folder}/{files[0].rsplit('/', 1)[1]}", "rows": stats["rows"], "first": stats["first"], "last": stats["last"], "stats": stats}], end=first + len(rows), ts=stamp)
-                return first, first + len(rows)
+                self.commit(base, add=[{"path": f"{folder}/{files[0].rsplit('/', 1)[1]}", "rows": stats["rows"], "first": stats["first"], "last": stats["last"], "stats": stats}], end=first + n, ts=stamp, marks=marks)
+                return first, first + n
             except CommitConflict:
                 self.files.delete(folder)
         raise CommitConflict(f"{self.path}: other writers were faster {ATTEMPTS} times")

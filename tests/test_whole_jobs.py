@@ -13,7 +13,7 @@ from ledgerframe.streaming import live
 def test_unnest_covers_every_row(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").collect()
     want = sorted((r.event_id + 1, r.user_id, p, r.event_id % 3 + p) for r in events for p in range(3))
-    got = queries.QUERIES["unnest_all_items"](spark, sf_dir)
+    got = queries.QUERIES["unnest_items"](spark, sf_dir)
     assert sorted(map(tuple, got.select("ledger_offset", "user_id", "pos", "t").collect())) == want
 
 
