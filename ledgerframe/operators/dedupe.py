@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,29 @@ def judge_one(last: int, seq: int, count: int) -> tuple[int, int, bool, int]:
 def judge(frames: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """A verdict for each frame. ``marks`` (publisher, last_seq) is where publishers stand.
 
-    The rule is a fold in order of arrival. Each publisher's frames are sorted and streamed through it;
-    no group is held in memory, however many frames a publisher sends.
+    The rule is a fold in order of arrival. As long as a publisher leaves no gap, where it stands is the largest number it
+    has sent so far, which is a running maximum; only the frames of publishers that leave one are folded, each
+    publisher's sorted and streamed through it. No group is held in memory, however many frames a publisher sends.
     """
     own = frames.select(F.col("publisher").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long"), F.col("count").cast("long"), F.lit(None).cast("long").alias("mark"))
     if marks is not None:
         # A mark comes before all frames of its publisher.
         own = own.unionByName(marks.select(F.col("publisher").cast("string"), F.lit(None).cast("long").alias("arrival"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("count"), F.col("last_seq").cast("long").alias("mark")))
+    turn = Window.partitionBy("publisher").orderBy(F.col("arrival").asc_nulls_first())
+    end = F.coalesce("mark", F.col("seq") + F.col("count") - 1)
+    own = own.withColumn("before", F.coalesce(F.max(end).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    odd = F.coalesce((F.col("seq") > F.col("before") + 1) | (F.col("seq") < 1), F.lit(False))
+    own = own.withColumn("odd", F.max(odd).over(Window.partitionBy("publisher")))
+    skip = F.least(F.col("count"), F.col("before") - F.col("seq") + 1)
+    plain = own.where(~F.col("odd") & F.col("mark").isNull()).select(
+        "publisher", "arrival", "seq", "count", skip.alias("skip"), (F.col("count") - skip).alias("append"), F.lit(False).alias("gap"), F.greatest("before", F.col("seq") + F.col("count") - 1).alias("last")
+    )
+    gaps = own.where("odd").select("publisher", "arrival", "seq", "count", "mark")
+    return plain.unionByName(folded(gaps))
+
+
+def folded(own: DataFrame) -> DataFrame:
+    """The fold of :func:`judge` over rows (publisher, arrival, seq, count, mark)."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, 0
@@ -96,8 +112,6 @@ def original_offsets(duplicates: DataFrame, ranges: DataFrame, window: int, mark
 
 
 def _newest(ranges: DataFrame, window: int) -> DataFrame:
-    from pyspark.sql import Window
-
     # WindowGroupLimit keeps at most ``window`` ranges of a publisher in each task before the shuffle.
     rank = F.row_number().over(Window.partitionBy("publisher").orderBy(F.desc("first_seq")))
     return ranges.withColumn("_n", rank).where(F.col("_n") <= window).groupBy("publisher").agg(F.collect_list(F.struct("first_seq", "count", "first_offset")).alias("r"))

@@ -1,5 +1,6 @@
 """Streams end to end, over rows of the events table: appends, points in time, migration, pruning, retention, life, exactly-once, live views."""
 
+import random
 import time
 
 import pytest
@@ -256,6 +257,21 @@ def test_judge(spark):
     marks = spark.createDataFrame([("b", 1)], "publisher string, last_seq long")
     assert [(r.skip, r["append"], r.gap) for r in dedupe.judge(df.where("publisher = 'b'"), marks).orderBy("arrival").collect()] == [(0, 1, False), (2, 0, False)]
     assert dedupe.judge(df.limit(0)).count() == 0
+    rng = random.Random(3)
+    many, want, standing = [], [], []
+    for p in range(30):
+        last, base = 0, rng.randint(0, 5)
+        for arrival in range(25):
+            seq, count = max(1, last + 1 - rng.randint(0, 3) + (5 if p % 3 == 0 and rng.random() < 0.1 else 0)), rng.randint(1, 4)
+            if arrival == 0:
+                last = base
+            many.append((str(p), arrival, seq, count))
+            skip, append, gap, last = dedupe.judge_one(last, seq, count)
+            want.append((str(p), arrival, seq, count, skip, append, gap, last))
+        standing.append((str(p), base))
+    frame = spark.createDataFrame(many, df.schema).repartition(3)
+    got = dedupe.judge(frame, spark.createDataFrame(standing, "publisher string, last_seq long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(w[6] for w in want)
 
 
 def test_judge_stream_agrees(spark, tmp_path):
