@@ -114,6 +114,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def packed(df: DataFrame, like: DataFrame | None = None, mb: int = 32) -> DataFrame:
+    """``df`` in no more partitions than four for each core, or one for so many megabytes of ``like`` (default: itself), whichever is more.
+
+    So a small table that was dealt to many partitions doesn't become as many small files. Sizes are the plan's own; nothing is
+    shuffled, and a large table stays as it is.
+    """
+    size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // (mb << 20))), (1 << 31) - 1))
+
+
 def stored(df: DataFrame, name: str, block_mb: int = 16) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a lost executor costs no recomputation.
 

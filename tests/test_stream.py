@@ -613,3 +613,27 @@ def test_what_no_record_names_is_cleaned_after_the_grace(spark, two_logs):
     gone = log.clean(grace_us=0)
     assert len(gone) == 3 and f"{log.path}/data/dead" in gone and two_logs.snapshot().count() == 11
     assert two_logs.snapshot().to_arrow(columns=["event_id"]).column(0).to_pylist() == list(range(11))
+
+
+def test_stored_tables(spark, tmp_path):
+    """Small tables become few files, whatever they were dealt to, and go when they are released; a cluster without a shared folder is refused."""
+    from ledgerframe.errors import SourceUnreadable
+    from ledgerframe.sources import files
+
+    spark.range(100, numPartitions=90).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    now = files.stored(files.packed(df.repartition(70)), "t")
+    assert sorted(r.id for r in now.collect()) == list(range(100)) and len(files.Files(spark).parquet(now.stored_at)) <= 4 * spark.sparkContext.defaultParallelism
+    assert files.packed(df, mb=1).rdd.getNumPartitions() <= 16 and files.packed(spark.range(10, numPartitions=3)).rdd.getNumPartitions() == 3
+    files.release(now)
+    assert not files.Files(spark).exists(now.stored_at)
+    files.release(df)
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(SourceUnreadable):
+        files.shared_folder(Cluster)
