@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import release, shared_folder, stored  # noqa: F401
+from ..sources.files import packed, release, shared_folder, stored  # noqa: F401
 
 
 def shared(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, sha_hex, stored
+from .common import alnum_words, packed, sha_hex, stored
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 19
@@ -188,7 +188,7 @@ def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text",
         own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
         windows = item_windows([(r.i, r.t.encode() if r.t else None) for r in own.collect()], width)
         vocabulary = sorted({w for k in windows for w in k})
-        indexed = stored(index(docs, vocabulary, id_col, text_col, block_words), "postings")
+        indexed = stored(packed(index(docs, vocabulary, id_col, text_col, block_words), docs), "postings")
         one = search(indexed, vocabulary, windows, slop).drop("block", "ordinal")
         found = one if found is None else found.unionByName(one)
     if passes == 1:

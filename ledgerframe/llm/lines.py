@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, packed, stored
 
 THRESHOLD = 2
 #: Characters of the longer line for each edit.
@@ -252,7 +252,7 @@ def found(docs: DataFrame, threshold: int) -> DataFrame:
         F.when(large, LARGE).otherwise(PAIR).alias("kind"), F.when(large, F.col("key")).alias("key"), F.when(large, F.col("j")).alias("j"),
         F.when(large, F.col("k")).otherwise(k).alias("k"), F.when(large, F.col("q")).otherwise(q).alias("q"), F.when(~large, ek).alias("ek"), F.when(~large, eq).alias("eq"),
     )
-    return stored(rows.unionByName(pairs), "lines")
+    return stored(packed(rows.unionByName(pairs), docs), "lines")
 
 
 def at_places(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
@@ -286,7 +286,7 @@ def among_many(docs: DataFrame, table: DataFrame, threshold: int) -> list[DataFr
     texts = at_places(docs, places, places.count()).withColumn("counts", letter_counts(F.col("line")))
     if large_groups(rows.where("own")).isEmpty():
         probe = rows.join(texts.select("k", "q", "counts"), ["k", "q"])
-        return [stored(met(probe.where("own"), probe, threshold).distinct(), "lines-many")]
+        return [stored(packed(met(probe.where("own"), probe, threshold).distinct(), docs), "lines-many")]
     rows = stored(rows.join(texts, ["k", "q"]).withColumnRenamed("line", "rest"), "lines-rows")
     out = []
     while True:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, packed, stored
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 PARTS = ((0, 22), (22, 21), (43, 21))
@@ -248,8 +248,8 @@ def links(distinct: DataFrame, fp: str = "fp", threshold: int = THRESHOLD) -> Da
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` in no more partitions than its rows need, so that small tables don't become many small files."""
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows need."""
     return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
 
 
@@ -269,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         # Stars have no more links than there were.
-        now = cut(packed(small, state.n))
+        now = cut(few_files(small, state.n))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -282,14 +282,14 @@ def rooted(distinct: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """Of rows (doc_id, fp): a row (fp, root, component_id) for each distinct fingerprint."""
-    own = rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    own = rooted(cut(packed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), prints)))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("fp", "root").join(least, "root")
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id, root (the component's smallest fingerprint)."""
-    prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
+    prints = stored(packed(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), docs), "prints")
     return prints.join(classes(prints), "fp").select("doc_id", "fp", "component_id", "root")
 
 
@@ -308,8 +308,8 @@ def one_each(docs: DataFrame) -> DataFrame:
     names = [F.col(f"`{c}`") for c in docs.columns]
     # The row travels as one cell, so its columns may have any names.
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*names).alias("h"), fingerprint_column(F.col("text")).alias("fp"))
-    rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "marked")
+    rows = stored(packed(rows.withColumn("number", F.monotonically_increasing_id()), docs), "marked")
     best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "fp", "h", "number")).alias("best")
-    first = rooted(cut(rows.groupBy("fp").agg(best)))
+    first = rooted(cut(packed(rows.groupBy("fp").agg(best), docs)))
     kept = first.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
     return rows.select("row", "number").join(kept, "number", "left_semi").select("row.*")
