@@ -20,7 +20,8 @@ on, until groups are smaller or the rest has no segments left.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line, which stays
 whatever else does; rows with the same id are the same document, so they don't remove one another's lines
-at the same place; a null id counts as larger than any other. Ids are integers.
+at the same place, and if their texts differ, what is near at a place of one goes there in all; a null id counts as larger
+than any other; texts and lines of any length are compared whole; columns of any name come back as they are. Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, packed, stored
+from .common import let, packed, stored, tidy
 
 THRESHOLD = 2
 #: Characters of the longer line for each edit.
@@ -252,7 +253,7 @@ def found(docs: DataFrame, threshold: int) -> DataFrame:
         F.when(large, LARGE).otherwise(PAIR).alias("kind"), F.when(large, F.col("key")).alias("key"), F.when(large, F.col("j")).alias("j"),
         F.when(large, F.col("k")).otherwise(k).alias("k"), F.when(large, F.col("q")).otherwise(q).alias("q"), F.when(~large, ek).alias("ek"), F.when(~large, eq).alias("eq"),
     )
-    return stored(packed(rows.unionByName(pairs), docs), "lines")
+    return stored(rows.unionByName(pairs), "lines")
 
 
 def at_places(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
@@ -261,7 +262,6 @@ def at_places(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
     both = docs.join(F.broadcast(wanted) if n <= FEW else wanted.hint("shuffle_hash"), ["k", "z"])
     place = lambda q: (q.bitwiseAND(F.lit(NO_ID - 1)) + 1).cast("int")
     lines = let(F.split(text_of(), "\n"), lambda own: F.transform("at", lambda q: F.struct(q.alias("q"), F.try_element_at(own, place(q)).alias("line"))))
-    # Of rows with one id those that have the line at its place give it: all the same, so one will do.
     return both.select("k", F.inline(lines)).where("line IS NOT NULL")
 
 
@@ -327,6 +327,7 @@ def kept_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not 1 <= threshold < PER_EDIT - 1:
         raise ValueError(f"a threshold is 1 to {PER_EDIT - 2}: near lines have more characters than that")
     table = found(docs, threshold)
+    tidy(docs.sparkSession)  # its shuffles are larger than the input
     pairs = table.where(F.col("kind") == PAIR).select("k", "q", "ek", "eq")
     pairs = reduce(DataFrame.unionByName, [pairs, *among_many(docs, table, threshold)]).distinct()
     firsts = table.where(F.col("kind") == FIRST).select("k", "q")
