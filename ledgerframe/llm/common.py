@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now: it does once nothing on the driver refers to them any more, and
-    that shows only when garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    that shows only when garbage is collected. What Python lets go of in the first round goes in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def let(value: Column, body) -> Column:
