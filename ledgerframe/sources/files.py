@@ -114,7 +114,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def packed(df: DataFrame, like: DataFrame | None = None, mb: int = 32) -> DataFrame:
+def packed(df: DataFrame, like: DataFrame | None = None, mb: int = 8) -> DataFrame:
     """``df`` in no more partitions than four for each core, or one for so many megabytes of ``like`` (default: itself), whichever is more.
 
     So a small table that was dealt to many partitions doesn't become as many small files. Sizes are the plan's own; nothing is
