@@ -356,7 +356,8 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     rest = lambda c: F.element_at("box", 1)["rest"][c]
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("text").isNull(), rest("n_chars")).otherwise(F.char_length(new["text"])).cast(dict(docs.dtypes)["n_chars"])
-    return out.select([(new[c] if c in new else rest(c)).alias(c) for c in docs.columns])
+    # Generated columns aren't merged into what reads them, so a Python function over the text isn't handed the lambdas above.
+    return out.select(F.inline(F.array(F.struct(*[(new[c] if c in new else rest(c)).alias(c) for c in docs.columns]))))
 
 
 #: All pairs of first lines of similar length. DuckDB's distance counts bytes, of which a character has four at most, so it

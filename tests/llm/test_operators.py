@@ -807,3 +807,16 @@ def test_no_python_on_native_paths(spark, hard):
     turns = hard.select(F.col("doc_id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
     for df in (lines.report(hard), merkle.report(hard), licenses.report(hard), chat.report(turns)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_python_operators_on_line_dedup(spark, hard):
+    """What line dedup returns is an input for the operators that run Python, without being written first."""
+    import public_tokenizers as P
+
+    clean = lines.clean(hard)
+    n = clean.count()
+    assert bpe.report(clean, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == n
+    assert simhash.report(clean).count() == n and simhash.one_each(clean).columns == hard.columns
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert toxicity.report(clean, labels).count() == n and quality.report(clean, labels).count() == n
+    assert decontaminate.report(clean, spark.createDataFrame([(1, "All rights reserved.")], ITEMS)).count() == n and substrings.report(clean).count() == n
