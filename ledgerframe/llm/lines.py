@@ -9,12 +9,12 @@ itself near an earlier line.
 Equal lines are brought together by hash first, so a line that a third of all documents have is one entry.
 Each first line is cut into threshold + 1 even segments; if two lines are within the threshold, some segment
 of the shorter occurs in the longer, at one of a few places that segment number and lengths determine. Index
-rows (length, segment number, segment) meet probe rows of those substrings in one equi-join. Each candidate pair
-whose counts of frequent letters allow it (an edit changes two of them by one at most) is verified by a banded
-bit-parallel edit distance.
+rows (length, segment number, segment) meet probe rows of those substrings in one equi-join. Both carry counts of
+frequent letters, so only pairs whose counts allow it (an edit changes two of them by one at most) leave the join; chance
+pairs, whose number grows faster than the corpus, don't. What leaves it is verified by a banded bit-parallel edit distance.
 
 Of a segment that over ``GROUP`` index rows share, the join passes on the probe rows only. They meet in a second
-join, which compares letter counts at once. A segment that over ``LARGE_GROUP`` index rows share isn't joined there either:
+join, by letter counts too. A segment that over ``LARGE_GROUP`` index rows share isn't joined there either:
 its lines, with that segment taken out, are cut again, and meet by the segment and a segment of the rest; and so
 on, until groups are smaller or the rest has no segments left.
 
@@ -91,15 +91,25 @@ def keys(wide: Column, length: Column, threshold: int) -> list[Column]:
 
 
 def letter_counts(line: Column) -> Column:
-    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in LETTERS]
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.bitwiseAND(15).cast("long"), 4 * i) for i, c in enumerate(counts)])
+    """Counts of ``LETTERS``, each modulo 16; in a loop, since a method of all steps in line is too long to be compiled."""
+    count = lambda x: (F.octet_length(line) - F.octet_length(F.replace(line, x, F.lit("")))).bitwiseAND(15).cast("long")
+    return F.aggregate(F.array(*[F.lit(x) for x in LETTERS]), F.lit(0).cast("long"), lambda out, x: F.shiftleft(out, 4).bitwiseOR(count(x)))
 
 
 def count_difference(a: Column, b: Column) -> Column:
-    """The sum of the differences of all counts, each modulo 16: at most twice the edit distance."""
-    four = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(15)
-    steps = [(four(a, i) - four(b, i)).bitwiseAND(15) for i in range(len(LETTERS))]
-    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in steps])
+    """The sum of the differences of all counts, each modulo 16: at most twice the edit distance.
+
+    Every other count at once, a byte for each: the remainder by 255 is the sum of the bytes.
+    """
+    each = lambda n: F.lit(n * 0x0101010101010101).cast("long")
+
+    def folded(x, y):
+        d = (x.bitwiseAND(each(15)).bitwiseOR(each(16)) - y.bitwiseAND(each(15))).bitwiseAND(each(15))
+        above = F.shiftright(d + each(7), 4).bitwiseAND(each(1))  # 1 where 16 - d is less than d
+        return d.bitwiseXOR(F.shiftleft(above, 4) - above) + above
+
+    high = lambda x: F.shiftrightunsigned(x, 4)
+    return (folded(a, b) + folded(high(a), high(b))) % 255
 
 
 def banded_distance(pattern: Column, text: Column, threshold: int) -> Column:
@@ -197,7 +207,7 @@ def split_place(df: DataFrame) -> DataFrame:
 
 
 def first_lines(docs: DataFrame, threshold: int) -> DataFrame:
-    """(box): for each distinct line, where it first stands (k, q) and its keys (k0, k1, ...).
+    """(box): for each distinct line, where it first stands (k, q), its letter counts and its keys (k0, k1, ...).
 
     All of it is of fixed width, so one hash aggregate with map-side partials finds it, and no text is shuffled. It is
     boxed so that those who read different cells share one exchange. Four bytes a character make places
@@ -205,8 +215,8 @@ def first_lines(docs: DataFrame, threshold: int) -> DataFrame:
     """
     lines = occurrences(docs).withColumn("wide", F.encode(F.make_valid_utf8("line"), "UTF-32"))
     own = [c.alias(f"k{j}") for j, c in enumerate(keys(F.col("wide"), F.shiftright(F.octet_length("wide"), 2), threshold))]
-    lines = lines.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), *own)
-    rows = split_place(lines.groupBy("a", "b").agg(F.min("place").alias("place"), *[F.max(f"k{j}").alias(f"k{j}") for j in range(len(own))]))
+    lines = lines.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), letter_counts(F.col("line")).alias("counts"), *own)
+    rows = split_place(lines.groupBy("a", "b").agg(F.min("place").alias("place"), F.max("counts").alias("counts"), *[F.max(f"k{j}").alias(f"k{j}") for j in range(len(own))]))
     return rows.select(F.array(F.struct(*[c for c in rows.columns if c not in ("a", "b")])).alias("box"))
 
 
@@ -215,9 +225,9 @@ def cell(name: str) -> Column:
 
 
 def entries(firsts: DataFrame, n_keys: int) -> DataFrame:
-    """(key, j, k, q): a row for each key."""
+    """(key, j, k, q, counts): a row for each key."""
     own = F.array(*[F.struct(cell(f"k{j}").alias("key"), F.lit(j).cast("byte").alias("j")) for j in range(n_keys)])
-    return firsts.select(F.inline(own), cell("k").alias("k"), cell("q").alias("q")).where("key IS NOT NULL")
+    return firsts.select(F.inline(own), cell("k").alias("k"), cell("q").alias("q"), cell("counts").alias("counts")).where("key IS NOT NULL")
 
 
 def later(threshold: int) -> Column:
@@ -226,6 +236,12 @@ def later(threshold: int) -> Column:
     return shorter | (F.col("k") > F.col("ik")) | ((F.col("k") == F.col("ik")) & (F.col("q") > F.col("iq")))
 
 
+def similar(threshold: int) -> Column:
+    """Whether a pair of a probe and an index row is a candidate: two lines whose letter counts allow ``threshold`` edits."""
+    apart = (F.col("k") != F.col("ik")) | (F.col("q") != F.col("iq"))
+    return apart & later(threshold) & (count_difference(F.col("counts"), F.col("icounts")) <= 2 * threshold)
+
+
 def ordered() -> list[Column]:
     """(k, q, ek, eq): the later and the earlier line of a pair (k, q), (ik, iq)."""
     after = (F.col("k") > F.col("ik")) | ((F.col("k") == F.col("ik")) & (F.col("q") > F.col("iq")))
@@ -237,21 +253,22 @@ FIRST, PAIR, LARGE = 0, 1, 2
 
 
 def found(docs: DataFrame, threshold: int) -> DataFrame:
-    """Stored rows (kind, key, j, k, q, ek, eq): first lines, candidate pairs, and probe rows of segments that many index rows share."""
+    """Stored rows (kind, key, j, k, q, ek, eq, counts): first lines, candidate pairs, and probe rows of segments that many index rows share."""
     firsts = first_lines(docs, threshold)
-    index = entries(firsts, threshold + 1).select("key", F.col("k").alias("ik"), F.col("q").alias("iq"))
+    index = entries(firsts, threshold + 1).select("key", F.col("k").alias("ik"), F.col("q").alias("iq"), F.col("counts").alias("icounts"))
     # Of a large group one row is left, for its probe rows to meet.
     group = Window.partitionBy("key").orderBy("ik", "iq")
     whole = F.count("*").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     index = index.withColumn("m", whole).withColumn("r", F.row_number().over(group)).where((F.col("m") <= GROUP) | (F.col("r") == 1))
     large = F.col("m") > GROUP
-    both = entries(firsts, len(combos(threshold))).join(index, "key").where(large | ((F.col("k") != F.col("ik")) | (F.col("q") != F.col("iq"))) & later(threshold))
+    both = entries(firsts, len(combos(threshold))).join(index, "key").where(large | similar(threshold))
     none = lambda *names: [F.lit(None).cast("byte" if c == "j" else "long").alias(c) for c in names]
-    rows = firsts.select(F.lit(FIRST).alias("kind"), *none("key", "j"), cell("k").alias("k"), cell("q").alias("q"), *none("ek", "eq"))
+    rows = firsts.select(F.lit(FIRST).alias("kind"), *none("key", "j"), cell("k").alias("k"), cell("q").alias("q"), *none("ek", "eq", "counts"))
     k, q, ek, eq = ordered()
     pairs = both.select(
         F.when(large, LARGE).otherwise(PAIR).alias("kind"), F.when(large, F.col("key")).alias("key"), F.when(large, F.col("j")).alias("j"),
         F.when(large, F.col("k")).otherwise(k).alias("k"), F.when(large, F.col("q")).otherwise(q).alias("q"), F.when(~large, ek).alias("ek"), F.when(~large, eq).alias("eq"),
+        F.when(large, F.col("counts")).alias("counts"),
     )
     return stored(rows.unionByName(pairs), "lines")
 
@@ -268,8 +285,7 @@ def at_places(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
 def met(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
     """(k, q, ek, eq): pairs of an index and a probe row (key, k, q, counts) that share a key and have similar counts."""
     own = index.select("key", F.col("k").alias("ik"), F.col("q").alias("iq"), F.col("counts").alias("icounts"))
-    apart = (F.col("k") != F.col("ik")) | (F.col("q") != F.col("iq"))
-    return probe.join(own, "key").where(apart & later(threshold) & (count_difference(F.col("counts"), F.col("icounts")) <= 2 * threshold)).select(*ordered())
+    return probe.join(own, "key").where(similar(threshold)).select(*ordered())
 
 
 def large_groups(index: DataFrame) -> DataFrame:
@@ -279,16 +295,18 @@ def large_groups(index: DataFrame) -> DataFrame:
 def among_many(docs: DataFrame, table: DataFrame, threshold: int) -> list[DataFrame]:
     """Candidate pairs (k, q, ek, eq) among lines that share a segment with many others."""
     # An index row is a probe row at its own place.
-    rows = table.where(F.col("kind") == LARGE).select("key", "j", "k", "q", (F.col("j") <= threshold).alias("own"))
+    rows = table.where(F.col("kind") == LARGE).select("key", "j", "k", "q", "counts", (F.col("j") <= threshold).alias("own"))
     if rows.isEmpty():
         return []
+    large = stored(large_groups(rows.where("own")), "lines-large")
+    small = rows.join(large, "key", "left_anti")
+    out = [met(small.where("own"), small, threshold)]
+    if large.isEmpty():
+        return out
+    # Only lines of the largest groups are cut again, so only their texts are read.
+    rows = rows.join(large, "key", "left_semi")
     places = rows.select("k", "q").distinct()
-    texts = at_places(docs, places, places.count()).withColumn("counts", letter_counts(F.col("line")))
-    if large_groups(rows.where("own")).isEmpty():
-        probe = rows.join(texts.select("k", "q", "counts"), ["k", "q"])
-        return [stored(packed(met(probe.where("own"), probe, threshold).distinct(), docs), "lines-many")]
-    rows = stored(rows.join(texts, ["k", "q"]).withColumnRenamed("line", "rest"), "lines-rows")
-    out = []
+    rows = stored(rows.join(at_places(docs, places, places.count()), ["k", "q"]).withColumnRenamed("line", "rest"), "lines-rows")
     while True:
         large = stored(large_groups(rows.where("own")), "lines-large")
         small = rows.join(large, "key", "left_anti")
@@ -329,7 +347,7 @@ def kept_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     table = found(docs, threshold)
     tidy(docs.sparkSession)  # its shuffles are larger than the input
     pairs = table.where(F.col("kind") == PAIR).select("k", "q", "ek", "eq")
-    pairs = reduce(DataFrame.unionByName, [pairs, *among_many(docs, table, threshold)]).distinct()
+    pairs = stored(packed(reduce(DataFrame.unionByName, [pairs, *among_many(docs, table, threshold)]).distinct(), docs), "lines-pairs")
     firsts = table.where(F.col("kind") == FIRST).select("k", "q")
     stay = firsts.join(near_lines(docs, pairs, threshold), ["k", "q"], "left_anti").groupBy("k", (F.col("q") >= NO_ID).alias("z")).agg(F.sort_array(F.collect_list("q")).alias("stay"))
     joined = docs.join(stay.hint("shuffle_hash"), ["k", "z"], "left").withColumn("text", text_of())

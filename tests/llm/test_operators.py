@@ -351,6 +351,14 @@ def test_lines_of_one_form(spark, monkeypatch, groups):
     assert rows(lines.report(df)) == brute_lines(source(df), 2)
 
 
+def test_lines_pass_on_no_chance_pair(spark):
+    """Lines that share a segment and little else don't leave the first join; near ones do."""
+    texts = ["abcdefgh" + x * 4 for x in ("ee", "tt", "ao", "ni")] + ["the quick brown fox jumps", "the quick brown fax jumps"]
+    docs = lines.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    got = lines.found(docs, 2)
+    assert {(r.k, r.ek) for r in got.where(got.kind == lines.PAIR).collect()} == {(5, 4)}
+
+
 def test_lines_hard(hard, empty):
     small = hard.where("text IS NULL OR length(text) < 5000")
     assert rows(lines.report(small, threshold=2)) == brute_lines(source(small), 2)
