@@ -69,3 +69,12 @@ def test_stream_refuses_ids_it_would_lose(spark, sf_dir, tmp_path, ids):
     e.selectExpr(f"CAST({ids} AS BIGINT) AS event_id", "user_id", "event_type", "value", "props", "ts").write.parquet(f"{tmp_path}/events.parquet")
     with pytest.raises(RowsRefused):
         queries.QUERIES["count_all"](spark, str(tmp_path))
+
+
+def test_range_join_makes_no_pairs_of_rows(spark, tmp_path):
+    """A brand of 200,000 rows at three sizes: 4e10 pairs, counted; nulls meet nothing."""
+    part = spark.range(200_000).selectExpr("if(id < 10, NULL, 'b') AS p_brand", "CAST(if(id % 5 = 4, NULL, 3 * (id % 2) + id % 4) AS INT) AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    counts = {r.p_size: r["count"] for r in part.where("p_brand IS NOT NULL AND p_size IS NOT NULL").groupBy("p_size").count().collect()}
+    want = {a: n * sum(m for b, m in counts.items() if abs(a - b) <= 1) for a, n in counts.items()}
+    assert {r.p_size: r.n for r in queries.QUERIES["star_range_join"](spark, str(tmp_path)).collect()} == want
