@@ -8,7 +8,10 @@ the rest lies a fence of 1,000 offsets.
 from __future__ import annotations
 
 import uuid
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,42 @@ def written(spark: SparkSession, sf_dir: str) -> Stream:
     return _written[key]
 
 
+def one_by_one(df: DataFrame) -> Iterator[dict]:
+    """The rows of ``df`` in order, each by itself. They come to the driver in batches of Arrow, a partition at a time."""
+
+    def packed(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for r in df.mapInArrow(packed, "batch binary").toLocalIterator():
+        yield from pa.ipc.open_stream(r.batch).read_all().to_pylist()
+
+
+class Pages:
+    """Rows that the driver has had, kept in files of the shared folder, 100,000 at a time."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.path, self.schema, self._rows = spark, fresh(spark, name), schema, []
+
+    def add(self, rows: list[tuple]) -> None:
+        self._rows += rows
+        if len(self._rows) >= 100_000:
+            self._write()
+
+    def _write(self) -> None:
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        table = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*self._rows)] or [pa.array([], pa.int64())] * len(names), names)
+        self.spark.createDataFrame(table, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+        self._rows = []
+
+    def frame(self) -> DataFrame:
+        self._write()
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def outcome(act) -> str:
     """The name of the refusal that ``act`` meets, or ``ok``."""
     try:
@@ -126,14 +165,26 @@ def grouped_sends(spark, sf_dir):
     """Every row by itself through a writer that commits together what waits; read again in batches of 2,000."""
     s = Stream.open(spark, fresh(spark, "sends"), "sends", V1)
     rows = plain(spark, sf_dir).drop("props").orderBy("event_id")
+    promised, kept = deque(), 0
+
+    def check(every: bool) -> int:
+        """How many promises, in order, are kept; those are let go of."""
+        n = kept
+        while promised and (every or promised[0].done()):
+            n += 1
+            assert promised.popleft().result() == n
+        return n
+
     with Writer(s) as w:
-        promised = [w.submit(r.asDict()) for r in rows.toLocalIterator()]
-    assert [p.result() for p in promised] == list(range(1, len(promised) + 1))
-    sub, out, page = Subscription(s, EARLIEST, max_backlog=len(promised)), [], 1
+        for r in one_by_one(rows):
+            promised.append(w.submit(r))
+            kept = check(False)
+    kept = check(True)
+    sub, out, page = Subscription(s, EARLIEST, max_backlog=kept), Pages(spark, "sends-read", f"event_id long, {OFFSET} long, page long"), 1
     while got := sub.receive(2000, timeout=0):
-        out += [(r["event_id"], o, page) for o, _, r in got]
+        out.add([(r["event_id"], o, page) for o, _, r in got])
         page += 1
-    return spark.createDataFrame(out, f"event_id long, {OFFSET} long, page long")
+    return out.frame()
 
 
 @query("SELECT event_id, event_id + 1 AS ledger_offset FROM events")
@@ -145,8 +196,8 @@ def pipelined_publication(spark, sf_dir):
     first, again = Publication(s, "p", max_in_flight=4096), Publication(s, "p", max_in_flight=4096)
     again.next_seq = n // 4 + 1
     for p, own in ((first, rows.where(F.col("event_id") < n // 2)), (again, rows.where(F.col("event_id") >= n // 4))):
-        for r in own.orderBy("event_id").toLocalIterator():
-            p.submit(r.asDict())
+        for r in one_by_one(own.orderBy("event_id")):
+            p.submit(r)
         p.flush()
     return s.snapshot().frame().select("event_id", OFFSET)
 
@@ -292,22 +343,23 @@ def cursor_moves(spark, sf_dir):
     at, out = fresh(spark, "cursor-file"), []
 
     def note(name, sub, got):
-        out.append((name, len(got), sub.cursor.load()))
+        out.append((name, sum(len(page) for page in got), sub.cursor.load()))
 
     reader = lambda **cells: Subscription(s, cursor=Cursor(spark, at, every=0), max_backlog=n, **cells)
     one = reader(offset=1)
-    one.receive(n // 3)
-    note("first", one, one.receive(n // 3))
+    for _ in one.receive_pages(n // 3):
+        pass
+    note("first", one, one.receive_pages(n // 3))
     two = reader()
-    note("again", two, two.receive(n // 3))
-    rest = two.receive(n)
+    note("again", two, two.receive_pages(n // 3))
+    rest = [sum(len(page) for page in two.receive_pages(n))]
     two.close()
-    note("rest", two, rest)
+    note("rest", two, [range(x) for x in rest])
     two.commit(2)
     three = reader()
-    got = three.receive(n)
+    rest = [sum(len(page) for page in three.receive_pages(n))]
     three.close()
-    note("back", three, got)
+    note("back", three, [range(x) for x in rest])
     return spark.createDataFrame(out, "what string, n long, cursor long")
 
 

@@ -78,3 +78,48 @@ def test_range_join_makes_no_pairs_of_rows(spark, tmp_path):
     counts = {r.p_size: r["count"] for r in part.where("p_brand IS NOT NULL AND p_size IS NOT NULL").groupBy("p_size").count().collect()}
     want = {a: n * sum(m for b, m in counts.items() if abs(a - b) <= 1) for a, n in counts.items()}
     assert {r.p_size: r.n for r in queries.QUERIES["star_range_join"](spark, str(tmp_path)).collect()} == want
+
+
+def numbers(spark, path, n):
+    s = Stream.open(spark, f"file://{path}/streams", "p", PRICE)
+    s.append(spark.range(n).selectExpr("CAST(id AS DOUBLE) AS price"), order_by=["price"])
+    return s
+
+
+def test_a_batch_comes_page_by_page(spark, tmp_path, monkeypatch):
+    """The driver never holds more than a page, and the cursor takes all of it as one batch."""
+    from ledgerframe.streaming import subscribe
+
+    monkeypatch.setattr(subscribe, "PAGE_ROWS", 70)
+    cursor = live.Cursor(spark, f"file://{tmp_path}/cursor", every=0)
+    sub = subscribe.Subscription(numbers(spark, tmp_path, 1000), 1, cursor=cursor)
+    pages = list(sub.receive_pages(600))
+    assert [o for p in pages for o, _, _ in p] == list(range(1, 601)) and max(map(len, pages)) <= 70 and cursor.load() is None
+    assert [o for o, _, _ in sub.receive(5)] == list(range(601, 606)) and cursor.load() == 600
+    assert [r["price"] for _, _, r in sub.receive(1000, timeout=0)] == [float(i) for i in range(605, 1000)]
+    assert sub.receive(5, timeout=0) == [] and cursor.load() == 1000
+
+
+def test_a_writer_lets_only_some_rows_wait(spark, tmp_path, monkeypatch):
+    from ledgerframe.sources.publish import Writer
+
+    s, most = numbers(spark, tmp_path, 1), []
+    w = Writer(s, group_rows=10)
+    monkeypatch.setattr(s, "send_many", lambda rows: (most.append(len(w._waiting)), list(range(len(rows))))[1])
+    with w:
+        for _ in range(500):
+            w.submit({"price": 1.0})
+    assert 0 < max(most) <= 20
+
+
+def test_a_handle_reads_a_record_once(spark, tmp_path, monkeypatch):
+    from ledgerframe.sources.files import Files
+
+    s, reads, read = numbers(spark, tmp_path, 1), [], Files.read
+    monkeypatch.setattr(Files, "read", lambda self, path: (reads.append(path), read(self, path))[1])
+    other = Stream.open(spark, f"file://{tmp_path}/streams", "p")
+    for i in range(4):
+        s.send({"price": float(i)})
+        other.send({"price": float(i)})
+    records = [r for r in reads if "_commits" in r]
+    assert len(records) <= 2 * 9 and [o for o, _, _ in s.snapshot().rows()] == list(range(1, 10))
